@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablewright.llm import tokens
+from tablewright.llm import exactdup, mixing, neardup, substring, tokens
 from tablewright.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -15,5 +16,65 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), limit=2048)
 
 
-QUERIES = {"op1_token_counts": op1_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), words=5, percent=75)
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), epochs=3).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(documents(spark, sf_dir), words=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op7_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.exact_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op4_source_mix, op6_repeated_passages, op7_exact_duplicates)}
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", _LOWER)} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+              ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) END) AS s FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)),
+        r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.c),
+        c AS (SELECT a, min(c) AS c FROM r GROUP BY a)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
+        FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op4_source_mix": rf"""
+        WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
+        w AS (SELECT *, [5, 2, 1][(n - 1) % 3 + 1]::DOUBLE AS weight, 3.0::DOUBLE * source_size AS most FROM s),
+        l AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+              / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        t AS (SELECT source, source_size, least(most, (SELECT min(level) FROM l WHERE most / weight >= level) * weight) AS target FROM l),
+        r AS (SELECT d.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS wanted,
+              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+              FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+        SELECT doc_id, size, source_size, round(target, 6) AS target,
+               CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (wanted // source_size) + least(size, greatest(wanted % source_size - ahead, 0)) END AS BIGINT) AS taken FROM r""",
+    "op6_repeated_passages": rf"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        x AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM w WHERE len(w) >= 13),
+        y AS (SELECT doc_id, i, md5(array_to_string(w[i:i+12], ' ')) AS h FROM x),
+        f AS (SELECT h, min(doc_id) AS first FROM y GROUP BY h HAVING min(doc_id) < max(doc_id)),
+        g AS (SELECT DISTINCT y.doc_id, y.i + unnest(range(0, 13)) AS k FROM y JOIN f ON f.h = y.h AND f.first < y.doc_id),
+        p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM w),
+        o AS (SELECT p.doc_id, count(g.k) AS gone, string_agg(CASE WHEN g.k IS NULL THEN p.word END, ' ' ORDER BY p.k) AS kept
+              FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.k = p.k GROUP BY p.doc_id)
+        SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN o ON o.doc_id = w.doc_id""",
+    "op7_exact_duplicates": rf"""
+        WITH t AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256, {_LOWER} AS t FROM documents),
+        g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (t)""",
+}
