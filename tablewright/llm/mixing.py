@@ -25,7 +25,7 @@ def water_levels(sources: DataFrame, weights: tuple[int, ...], epochs: int) -> D
     before, after = rise.rowsBetween(Window.unboundedPreceding, -1), rise.rowsBetween(0, Window.unboundedFollowing)
     every = Window.partitionBy()
     s = s.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    s = s.withColumn("level", F.min(F.when(F.col("most") / F.col("weight") >= F.col("level"), F.col("level"))).over(every))
+    s = s.withColumn("level", F.max(F.when(F.col("most") / F.col("weight") >= F.col("level"), F.col("level"))).over(every))
     return s.withColumn("target", F.least(F.col("most"), F.coalesce(F.col("level") * F.col("weight"), F.col("most"))))
 
 
