@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exactdup, mixing, neardup, substring, tokens
-from tablewright.llm.common import documents
+from tablewright.llm import classifier, exactdup, langid, mixing, neardup, quality_rules, secrets, substring, tokens
+from tablewright.llm.common import crc32_of_id, documents, labels
 
 VOCABULARY = "word_bpe_49k.json"
+#: Quality score from which a document counts as label 1.
+THRESHOLD = 0.3
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +22,21 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), words=5, percent=75)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir)).drop("rejected_by")
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), epochs=3).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = F.coalesce(F.pmod(crc32_of_id(), F.lit(4)) == 2, F.lit(False))
+    words = langid.train(docs, learn=~held & F.col("doc_id").isNotNull())
+    return langid.identify(docs, words).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(documents(spark, sf_dir), words=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -33,7 +46,24 @@ def op7_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op4_source_mix, op6_repeated_passages, op7_exact_duplicates)}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secret_spans(documents(spark, sf_dir)))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = classifier.train(docs, labels(spark, sf_dir), parts=5, held=0)
+    held = F.coalesce(F.pmod(crc32_of_id(), F.lit(5)) == 0, F.lit(False))
+    return classifier.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_near_duplicates, op3_quality_rules, op4_source_mix, op5_language,
+        op6_repeated_passages, op7_exact_duplicates, op9_secrets, op10_quality_classifier,
+    )
+}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -50,6 +80,24 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT a, min(c) AS c FROM r GROUP BY a)
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
         FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op3_quality_rules": rf"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5),
+        h AS (SELECT doc_id, i, md5(array_to_string(w[i:i+4], ' ')) AS h FROM g),
+        d AS (SELECT doc_id, h FROM h GROUP BY doc_id, h HAVING count(*) > 1),
+        k AS (SELECT DISTINCT h.doc_id, h.i + unnest(range(0, 5)) AS k FROM h JOIN d USING (doc_id, h)),
+        r AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id),
+        b AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+              CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+              len(lines) AS n_lines, length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS caps,
+              len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS stutter
+              FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+        f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_symbols <= n_words AND 2 * n_dup_lines <= n_lines
+               AND 2 * caps <= word_chars AND 5 * stutter <= n_words AS kept FROM f""",
     "op4_source_mix": rf"""
         WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
