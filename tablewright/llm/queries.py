@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import classifier, exactdup, langid, mixing, neardup, quality_rules, secrets, substring, tokens
+from tablewright.llm import classifier, exactdup, langid, mixing, neardup, packing, quality_rules, secrets, substring, tokens
 from tablewright.llm.common import crc32_of_id, documents, labels
 
 VOCABULARY = "word_bpe_49k.json"
@@ -46,6 +46,10 @@ def op7_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), length=2048, end_id=1)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(documents(spark, sf_dir)))
 
@@ -61,7 +65,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_near_duplicates, op3_quality_rules, op4_source_mix, op5_language,
-        op6_repeated_passages, op7_exact_duplicates, op9_secrets, op10_quality_classifier,
+        op6_repeated_passages, op7_exact_duplicates, op8_packing, op9_secrets, op10_quality_classifier,
     )
 }
 
