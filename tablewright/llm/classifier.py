@@ -11,10 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import LOWER, SPACES, crc32_of_id, map_rows, mix64, shingles, word_bounds, word_hashes
+from tablewright.llm.common import LOWER, SPACES, crc32_of_id, map_rows, mix64, shingles, ship, small_batches, word_bounds, word_hashes
 
 BITS = 18
 #: The bounded training sample: labelled rows that are learned from, about so many.
@@ -184,3 +185,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return lambda rows: {"doc_id": rows["doc_id"], "score": [model.score(features(t)) for t in rows["text"]]}
 
     return map_rows(docs.select("doc_id", F.col("text").cast("binary").alias("text")), make, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The documents with a score of `threshold` or more, with all their columns; nothing is shuffled."""
+    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("double")
+    def scores(text: pd.Series) -> pd.Series:
+        return pd.Series([model.score(features(t)) for t in text], dtype="float64")
+
+    return docs.where(scores(F.col("text").cast("binary")) >= threshold)
