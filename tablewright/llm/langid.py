@@ -9,16 +9,20 @@ phrases of a word are the word's own, and a worker parses each distinct word onc
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import map_rows
 
 #: The bounded training sample: documents of a language, and characters of each of them.
-TRAIN_DOCS, TRAIN_CHARS = 96, 4000
+TRAIN_DOCS, TRAIN_CHARS = 40, 2000
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 300_000
+#: Letters that the tables have a column for, the most frequent ones; any other is a phrase of its own.
+ALPHABET = 126
 #: Bits of a language's field in a word's packed phrase counts.
 BITS = 48
 
@@ -69,13 +73,24 @@ def phrases(automaton: dict[tuple[int, str], int], text: str) -> int:
 
 
 class Parser:
-    """Phrases that texts take with each language's automaton."""
+    """Phrases that texts take with each language's automaton. The automata are tables of state x letter, so that all new words of
+    a batch take their steps together."""
 
     loaded: dict = {}
 
     def __init__(self, words: dict[str, str]):
         self.langs = sorted(words)
-        self.automata = [suffix_automaton(words[lang]) for lang in self.langs]
+        seen = Counter(ch for w in words.values() for ch in w)
+        letters = [ch for ch, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET] if ord(ch) < 1 << 16]
+        self.code = np.ones(1 << 16, np.int64)  # 0: after the word's end, 1: any other letter
+        self.code[[ord(ch) for ch in letters]] = np.arange(2, len(letters) + 2)
+        self.tables = []
+        for lang in self.langs:
+            automaton = {k: t for k, t in suffix_automaton(words[lang]).items() if k[1] in set(letters)}
+            table = np.full((max(automaton.values(), default=0) + 1, len(letters) + 2), -1, np.int32)
+            for (s, ch), t in automaton.items():
+                table[s, self.code[ord(ch)]] = t
+            self.tables.append(table)
         self.known: dict[str, int] = {}
 
     @classmethod
@@ -85,34 +100,57 @@ class Parser:
             cls.loaded = {"words": words, "parser": cls(words)}
         return cls.loaded["parser"]
 
-    def totals(self, text: str) -> tuple[int, list[int]]:
-        """Letters of the text, and phrases by language."""
-        words, letters = WORD.findall(text.lower()), 0
-        known = self.known
-        for w in set(words) - known.keys():
-            if len(known) >= CACHE:
-                known.clear()
-                return self.totals_uncached(words)
-            known[w] = self.packed(w)
-        letters = sum(map(len, words))
-        total = sum(map(known.__getitem__, words))
-        return letters, [total >> BITS * k & (1 << BITS) - 1 for k in range(len(self.langs))]
-
-    def packed(self, word: str) -> int:
-        return sum(phrases(a, f" {word} ") << BITS * k for k, a in enumerate(self.automata))
-
-    def totals_uncached(self, words: list[str]) -> tuple[int, list[int]]:
-        total = sum(map(self.packed, words))
-        return sum(map(len, words)), [total >> BITS * k & (1 << BITS) - 1 for k in range(len(self.langs))]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        letters, counts = self.totals(text) if text and self.langs else (0, [])
-        if not letters:
-            return "und", 0.0
-        order = sorted(range(len(counts)), key=lambda k: (counts[k] / letters, self.langs[k]))
-        best = counts[order[0]]
-        second = counts[order[1]] if len(order) > 1 else best
-        return self.langs[order[0]], second / (best + second)
+    def counts(self, words: list[str]) -> np.ndarray:
+        """Phrases of each word (a row) by language (a column). Words of like length go together, so that a long one costs its own
+        letters only."""
+        out = np.zeros((len(words), len(self.langs)), np.int64)
+        length = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        codes = np.frombuffer(" ".join(["", *words, ""]).encode("utf-32-le"), np.uint32)
+        codes = np.where(codes < 1 << 16, self.code[np.minimum(codes, (1 << 16) - 1)], 1)
+        starts = np.cumsum(length - 1) - (length - 1)
+        size = np.ceil(np.log2(length)).astype(np.int64)
+        for k in np.unique(size):
+            rows = np.flatnonzero(size == k)
+            for at in range(0, len(rows), max(1, (1 << 22) >> k)):
+                part = rows[at : at + max(1, (1 << 22) >> k)]
+                for n, table in enumerate(self.tables):
+                    out[part, n] = self.parse(table, codes, starts[part], length[part])
+        return out
+
+    @staticmethod
+    def parse(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        state, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        for t in range(int(length.max())):
+            live = t < length
+            c = np.where(live, codes[np.minimum(starts + t, len(codes) - 1)], 0)
+            after = table[state, c]
+            cut = live & (after < 0)
+            again = table[0, c]
+            n += cut & (state != 0)
+            n += cut & (again < 0)
+            state = np.where(live, np.where(cut, np.maximum(again, 0), after), state)
+        return n + (state != 0)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        lists = [WORD.findall(t.lower()) if t else [] for t in texts]
+        wanted = set().union(*lists)
+        if len(self.known) + len(wanted) > CACHE:
+            self.known = {}
+        new = list(wanted - self.known.keys())
+        if new and self.langs:
+            packed = [sum(int(x) << BITS * k for k, x in enumerate(row)) for row in self.counts(new).tolist()]
+            self.known.update(zip(new, packed, strict=True))
+        out = []
+        for words in lists:
+            if not words or not self.langs:
+                out.append(("und", 0.0))
+                continue
+            letters, total = sum(map(len, words)), sum(map(self.known.__getitem__, words))
+            n = [total >> BITS * k & (1 << BITS) - 1 for k in range(len(self.langs))]
+            order = sorted(range(len(n)), key=lambda k: (n[k] / letters, self.langs[k]))
+            best, second = n[order[0]], n[order[min(1, len(n) - 1)]]
+            out.append((self.langs[order[0]], second / (best + second)))
+        return out
 
 
 def train(docs: DataFrame, learn: Column, lang: str = "lang") -> dict[str, str]:
@@ -143,7 +181,7 @@ def identify(docs: DataFrame, words: dict[str, str]) -> DataFrame:
         parser = Parser.get(words)
 
         def fn(rows):
-            got = [parser.predict(t) for t in rows["text"]]
+            got = parser.predict(rows["text"])
             return {"doc_id": rows["doc_id"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
 
         return fn
