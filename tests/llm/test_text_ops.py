@@ -74,7 +74,7 @@ def base_counts(t):
 
 def test_quality_rules(spark):
     rows = corpus()
-    extra = ["A B C " * 20, "one line here\n" * 12, "a b c d e f g h i j a b c d e x y a b c d e", "w* x# y$ z% " * 9, "SHOUT LOUD NOW " * 3 + sentence(random.Random(1), 3), "go go go stop stop stop wait wait now then here there", "\n \n\t\n", "a\x0bb\x0cc é"]
+    extra = ["A B C " * 20, "one line here\n" * 12, "a b c d e f g h i j a b c d e x y a b c d e", " ".join(f"u{i}#" for i in range(30)), "SHOUT LOUD NOW " * 3 + sentence(random.Random(1), 3), "go go go stop stop stop wait wait now then here there", "\n \n\t\n", "a\x0bb\x0cc é"]
     rows += [(900 + i, t, "s", "en") for i, t in enumerate(extra)]
     got = quality_rules.quality_rules(frame(spark, rows)).collect()
     assert sorted([tuple(r)[:7] for r in got], key=str) == sorted([(i, *base_counts(t)) for i, t, *_ in rows], key=str)
