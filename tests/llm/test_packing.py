@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -11,10 +12,15 @@ from tests.llm.helpers import corpus, frame, sentence
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def ids_of(text):
+@cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return np.array(Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+    return Tokenizer.from_file(PATH)
+
+
+def ids_of(text):
+    return np.array(tokenizer().encode(text or "", add_special_tokens=False).ids + [1], "<u4")
 
 
 @pytest.mark.parametrize("length", [64, 256])
