@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import map_rows
 
 #: Distinct chunks that a worker remembers before it starts anew.
-CACHE = 400_000
+CACHE = 900_000
 END = "</w>"
 
 
@@ -97,7 +97,7 @@ class ChunkTokens:
 
     def pieces(self, chunk: str) -> list[str]:
         """The pre-tokens of a chunk."""
-        if self.latin and LATIN.fullmatch(chunk):
+        if self.latin and (chunk.isascii() and chunk.isalpha() or LATIN.fullmatch(chunk)):
             return [chunk] if chunk.isalpha() else PRE.findall(chunk)
         return [chunk[a:b] for _, (a, b) in self.plain.pre_tokenizer.pre_tokenize_str(chunk)]
 
