@@ -4,10 +4,10 @@ Every full `length` tokens of a document are a sequence of their own; the remain
 tokens, are counted on the cluster; this histogram, of a fixed size, is all that the driver gets. The linear program
 over it covers each class of lengths with patterns (ways to fill one sequence) by as few sequences as can be: a restricted
 program gives a price to each class, a knapsack by dynamic programming finds the pattern of most worth at these prices, and it
-enters the program, until no pattern is worth more than a sequence. Patterns are used as often as the solution says, rounded
-down, then once more where the classes still have documents, then by first fit. Documents are ranked within their class
-on the cluster, and their ranks give each its pattern, sequence and place. What no pattern takes, at most a few items
-for each pattern, is laid end to end and cut at the bounds of sequences, the last of which are powers of two, without padding.
+enters the program, until no pattern is worth more than a sequence. Patterns are used, the fullest in real tokens first, as often as the solution
+says, rounded down, while little stays empty; full ones once more where the classes still have documents, then by first fit. Documents are ranked within their class
+on the cluster, and their ranks give each its pattern, sequence and place. All that is left, be it few items or the
+whole table, is laid end to end and cut at the bounds of sequences, the last of which are powers of two, without padding.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ ROUNDS = 1500
 GAP = 5e-4
 #: Documents of a class that are ranked together, on average.
 GROUP_ROWS = 2000
-#: First fit makes no sequence that is emptier than this; what would be in it is laid end to end instead.
-FULLNESS = 0.985
+#: Sequences of patterns are at least so full together, in real tokens, and those of one pattern at least FLOOR; first fit makes none
+#: below FULLNESS. What would be in emptier ones is laid end to end instead.
+FULLNESS, FLOOR = 0.985, 0.9
 
 
 def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -122,36 +123,41 @@ class Plan:
     sequences: int
 
 
-def plan_patterns(counts: dict[int, int], length: int) -> Plan:
-    """counts: documents of each class (a class k holds remainders of (k - 1) * STEP + 1 to k * STEP tokens)."""
+def plan_patterns(counts: dict[int, int], length: int, tokens: dict[int, int] | None = None) -> Plan:
+    """counts: documents of each class (a class k holds remainders of (k - 1) * STEP + 1 to k * STEP tokens); tokens: of all remainders
+    of each class, k * STEP for each document if not given."""
     capacity = length // STEP
     sizes = np.array(sorted(counts), np.int64)
     demand = np.array([counts[int(s)] for s in sizes], np.int64)
     if not len(sizes):
         return Plan({}, np.zeros(1, np.int64), np.array([-1]), np.array([0]), 0)
+    mean = np.array([tokens[int(s)] for s in sizes]) / demand if tokens else sizes * float(STEP)
     patterns, times = column_generation(sizes, demand.astype(float), capacity)
     used: list[tuple[np.ndarray, int]] = []
-    left = demand.copy()
+    left, spare = demand.copy(), (1 - FULLNESS) * float(mean @ demand)  # tokens that may stay empty in all sequences together
 
-    def use(pattern: np.ndarray, n: int) -> None:
-        nonlocal left
-        inside = pattern > 0
-        n = min(n, int((left[inside] // pattern[inside]).min())) if inside.any() else 0
+    def use(pattern: np.ndarray, n: int) -> bool:
+        nonlocal left, spare
+        inside, empty = pattern > 0, max(length - float(pattern @ mean), 1e-9)
+        n = min(n, int((left[inside] // pattern[inside]).min()), int(spare / empty)) if inside.any() else 0
         if n > 0:
             used.append((pattern, n))
             left = left - n * pattern
-
-    for k in range(len(sizes)):
-        use(patterns[:, k], int(times[k] + 1e-7))
-    full = lambda p: int(p @ sizes) >= FULLNESS * capacity
+            spare -= n * empty
+        return n > 0
+
+    full = lambda p: float(p @ mean) >= FULLNESS * length
+    fill = mean @ patterns / length
+    for k in np.argsort(-fill, kind="stable"):  # the fullest first
+        if fill[k] >= FLOOR:
+            use(patterns[:, k], int(times[k] + 1e-7))
     for k in np.argsort(-(times - np.floor(times + 1e-7)), kind="stable"):
         if full(patterns[:, k]):
             use(patterns[:, k], 1)
     while True:  # first fit, the largest first
         pattern = first_fit(sizes, left, capacity)
-        if not full(pattern):
+        if not full(pattern) or not use(pattern, int(left.max())):
             break
-        use(pattern, int(left.max()))
 
     first = dict(zip(sizes.tolist(), (np.cumsum(demand) - demand).tolist(), strict=True))
     at = np.cumsum(demand) - demand
@@ -193,7 +199,7 @@ def encoded(docs: DataFrame, vocabulary: str, length: int, end_id: int) -> DataF
 
 
 def cut_crcs(docs: DataFrame, cuts: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of the pieces of the few documents that are cut.
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of the pieces of the documents that are cut.
 
     cuts: doc_id, text_key and plan: the pieces, flattened, of a row that these identify.
     """
@@ -214,7 +220,7 @@ def cut_crcs(docs: DataFrame, cuts: DataFrame, vocabulary: str, end_id: int) ->
         return fn
 
     d = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").alias("d")
-    c = F.broadcast(cuts).alias("c")
+    c = cuts.alias("c")
     found = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_key") == F.col("c.text_key")))
     found = found.select("d.doc_id", "d.text_key", "d.text", "c.plan").dropDuplicates(["doc_id", "text_key"])
     return map_rows(found.select("doc_id", "text", "plan"), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
@@ -241,10 +247,11 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1)
     spark = docs.sparkSession
     rest = F.col("doc_tokens") % length
     coded = stash(encoded(docs, vocabulary, length, end_id).withColumn("class", F.ceil(rest / STEP).cast("int")))
-    histogram = {r["class"]: (r["n"], r["full"]) for r in coded.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.size("full")).alias("full")).collect()}
-    plan = plan_patterns({k: n for k, (n, _) in histogram.items() if k}, length)
+    histogram = {r["class"]: (r["n"], r["full"], r["tokens"]) for r in coded.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.size("full")).alias("full"), F.sum(rest).alias("tokens")).collect()}
+    plan = plan_patterns({k: n for k, (n, _, _) in histogram.items() if k}, length, {k: t for k, (_, _, t) in histogram.items() if k})
 
-    # ranks: salted groups of each class, whose counts give them their first rank
+    # ranks: salted groups of each class, whose counts give them their first rank; in an order that tells nothing of the length, so that
+    # any part of a class has its mean
     base, rows = 0, []
     for k in sorted(histogram):
         rows.append((k, max(1, -(-histogram[k][0] // GROUP_ROWS)), plan.first.get(k, 0), base))
@@ -254,7 +261,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1)
     group = narrow.groupBy("class", "salt").agg(F.count("*").alias("n"), F.sum(F.size("full")).alias("n_full"))
     ahead = Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     group = group.select("class", "salt", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"), F.coalesce(F.sum("n_full").over(ahead), F.lit(0)).alias("before_full"))
-    within = Window.partitionBy("class", "salt").orderBy("doc_id", "text_key")
+    within = Window.partitionBy("class", "salt").orderBy("text_key", "doc_id")
     earlier = within.rowsBetween(Window.unboundedPreceding, -1)
     ranked = narrow.withColumn("rank", F.row_number().over(within) - 1).withColumn("rank_full", F.coalesce(F.sum(F.size("full")).over(earlier), F.lit(0)))
     ranked = ranked.join(group, ["class", "salt"])
@@ -269,30 +276,41 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1)
         k = np.searchsorted(starts, at, side="right") - 1
         return pd.DataFrame({"sequence": np.where(sequence[k] >= 0, sequence[k] + at - starts[k], -1), "slot": slot[k]})
 
-    placed = stash(ranked.withColumn("place", place("position")).select("doc_id", "text_key", "doc_tokens", "full", "rest_crc", "class", "position", "full_at", F.col("place.sequence").alias("sequence"), F.col("place.slot").alias("slot"), rest.alias("rest")))
+    placed = stash(ranked.withColumn("place", place("position")).select("doc_id", "text_key", "doc_tokens", "full", "rest_crc", "class", "salt", "position", "full_at", F.col("place.sequence").alias("sequence"), F.col("place.slot").alias("slot"), rest.alias("rest")))
 
     # remainders in patterns
     order = Window.partitionBy("sequence").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     whole = placed.where("class > 0 and sequence >= 0").withColumn("offset", F.coalesce(F.sum("rest").over(order), F.lit(0)))
     whole = whole.select("doc_id", (F.col("doc_tokens") - F.col("rest")).alias("start"), F.col("rest").alias("length"), F.col("rest_crc").alias("ids_crc32"), "doc_tokens", F.col("sequence").alias("sequence_id"), "offset")
 
-    # remainders laid end to end: a few for each pattern, so that one task can place them
-    line = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    laid = stash(placed.where("class > 0 and sequence < 0").withColumn("at", F.coalesce(F.sum("rest").over(line), F.lit(0))).select("doc_id", "text_key", "doc_tokens", "rest", "at"))
-    total = laid.agg(F.coalesce(F.sum("rest"), F.lit(0))).first()[0]
+    # remainders laid end to end: tokens of salted groups give them their first place
+    laid = placed.where("class > 0 and sequence < 0")
+    totals = {r["class"]: r["n"] for r in laid.groupBy("class").agg(F.sum("rest").alias("n")).collect()}
+    total, rows = 0, []
+    for k in sorted(totals):
+        rows.append((k, total))
+        total += totals[k]
+    lines = F.broadcast(spark.createDataFrame(rows or [(0, 0)], "class int, line long"))
+    group = laid.groupBy("class", "salt").agg(F.sum("rest").alias("n")).select("class", "salt", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    line = Window.partitionBy("class", "salt").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    laid = laid.withColumn("ahead", F.coalesce(F.sum("rest").over(line), F.lit(0))).join(group, ["class", "salt"]).join(lines, "class")
+    laid = stash(laid.select("doc_id", "text_key", "doc_tokens", "rest", "rest_crc", (F.col("line") + F.col("before") + F.col("ahead")).alias("at")))
     tail, even = bounds(total, length), total // length
     pieces = F.concat(
         F.transform(F.sequence(F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("rest") - 1) / length)), lambda s: F.struct((s * length).alias("from"), F.lit(length).cast("long").alias("size"), (s + plan.sequences).alias("sequence"))),
         F.array(*(F.struct(F.lit(a).cast("long").alias("from"), F.lit(n).cast("long").alias("size"), F.lit(plan.sequences + even + k).cast("long").alias("sequence")) for k, (a, n) in enumerate(tail))).cast("array<struct<from:bigint,size:bigint,sequence:bigint>>"),
     )
-    cut = laid.select("doc_id", "text_key", "doc_tokens", "rest", "at", F.explode(pieces).alias("p")).where(F.col("p.from") + F.col("p.size") <= total)
+    in_one = (F.floor(F.col("at") / length) == F.floor((F.col("at") + F.col("rest") - 1) / length)) & (F.col("at") + F.col("rest") <= even * length)
+    uncut = laid.where(in_one).select("doc_id", (F.col("doc_tokens") - F.col("rest")).alias("start"), F.col("rest").alias("length"), F.col("rest_crc").alias("ids_crc32"), "doc_tokens", (F.floor(F.col("at") / length) + plan.sequences).alias("sequence_id"), (F.col("at") % length).alias("offset"))
+    cut = laid.where(~in_one).select("doc_id", "text_key", "doc_tokens", "rest", "at", F.explode(pieces).alias("p")).where(F.col("p.from") + F.col("p.size") <= total)
     cut = cut.withColumn("a", F.greatest("at", "p.from")).withColumn("b", F.least(F.col("at") + F.col("rest"), F.col("p.from") + F.col("p.size"))).where("a < b")
     start = F.col("doc_tokens") - F.col("rest") + F.col("a") - F.col("at")
-    cuts = cut.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(F.array(start, F.col("b") - F.col("a"), F.col("p.sequence"), F.col("a") - F.col("p.from")))).alias("plan"))
+    # written, so that its size is known and the texts are only shuffled for it where it is large
+    cuts = stash(cut.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(F.array(start, F.col("b") - F.col("a"), F.col("p.sequence"), F.col("a") - F.col("p.from")))).alias("plan")))
     parts = cut_crcs(docs, cuts, vocabulary, end_id)
 
     # full sequences
     last = plan.sequences + even + len(tail)
     full = placed.where("size(full) > 0").select("doc_id", "doc_tokens", "full_at", F.posexplode("full").alias("k", "ids_crc32"))
     full = full.select("doc_id", (F.col("k") * length).cast("long").alias("start"), F.lit(length).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("full_at") + F.col("k") + last).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return whole.unionByName(parts).unionByName(full)
+    return whole.unionByName(uncut).unionByName(parts).unionByName(full)

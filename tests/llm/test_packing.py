@@ -87,3 +87,30 @@ def test_plan_places_every_document_once():
             fill.setdefault(key, []).append((int(plan.slot[i]), k))
     assert set(fill) == set(range(plan.sequences)) and all(sum(k for _, k in v) <= 512 for v in fill.values())
     assert all(len({s for s, _ in v}) == len(v) for v in fill.values()) and laid < sum(counts.values()) / 5
+
+
+@pytest.mark.parametrize("tokens", [[35], [3], [5], [35, 3, 5]])
+def test_skewed_lengths_are_not_padded(spark, tokens):
+    """Remainders that cannot be combined into full sequences are cut, whatever their number."""
+    rows = [(i, " a" * (tokens[i % len(tokens)] - 1), "s", "en") for i in range(400)]
+    assert [len(ids_of(t)) for _, t, *_ in rows[: len(tokens)]] == tokens
+    fill, seen = {}, {}
+    for p in sorted(packing.pack(frame(spark, rows), PATH, length=64).collect(), key=lambda p: (p["sequence_id"], p["offset"])):
+        ids = ids_of(rows[p["doc_id"]][1])
+        assert p["offset"] == fill.get(p["sequence_id"], 0) and p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes())
+        fill[p["sequence_id"]] = p["offset"] + p["length"]
+        seen.setdefault(p["doc_id"], []).append((p["start"], p["length"]))
+    for i, t, *_ in rows:
+        at = 0
+        for start, n in sorted(seen[i]):
+            assert start == at
+            at += n
+        assert at == len(ids_of(t))
+    assert sorted(fill) == list(range(len(fill))) and max(fill.values()) <= 64
+    assert sum(64 - n for n in fill.values() if n & (n - 1)) <= 0.02 * sum(fill.values())
+
+
+def test_plan_uses_full_patterns_only():
+    assert packing.plan_patterns({275: 1000}, 2048).sequences == 0
+    assert packing.plan_patterns({1: 5120}, 2048, {1: 3 * 5120}).sequences == 0
+    assert packing.plan_patterns({1: 5120}, 2048).sequences == 10
