@@ -9,6 +9,7 @@ phrases of a word are the word's own, and a worker parses each distinct word onc
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -21,8 +22,10 @@ from tablewright.llm.common import map_rows
 TRAIN_DOCS, TRAIN_CHARS = 40, 2000
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 300_000
-#: Letters that the tables have a column for, the most frequent ones; any other is a phrase of its own.
+#: Letters of a language that its table has a column for, the most frequent ones; the others' transitions are found by binary search.
 ALPHABET = 126
+#: Cells of all languages' tables together; with more, columns are left to the search, which finds the same.
+CELLS = 1 << 26
 #: Bits of a language's field in a word's packed phrase counts.
 BITS = 48
 
@@ -72,25 +75,57 @@ def phrases(automaton: dict[tuple[int, str], int], text: str) -> int:
     return n + (state != 0)
 
 
+class Steps:
+    """A language's automaton, for many words at once: a table of state x letter for its frequent letters, sorted keys
+    state * letters + letter for the others."""
+
+    def __init__(self, text: str, code: dict[str, int], cells: int):
+        """code: the number, from 2, of each letter of any language; 1 is any other, 0 what is after a word's end."""
+        automaton = suffix_automaton(text)
+        letters = [ch for ch, _ in sorted(Counter(text).items(), key=lambda x: (-x[1], x[0]))]
+        states = max(automaton.values(), default=0) + 1
+        self.width = 2 + min(len(letters), ALPHABET, max(cells // states, 1))
+        self.column = np.ones(len(code) + 2, np.int64)
+        self.column[0] = 0
+        self.column[[code[ch] for ch in letters]] = np.arange(2, len(letters) + 2)
+        own = {ch: k for k, ch in enumerate(letters, 2)}
+        self.n = len(letters) + 2
+        self.table = np.full((states, self.width), -1, np.int32)
+        self.root = np.full(self.n, -1, np.int64)
+        rare = []
+        for (s, ch), t in automaton.items():
+            c = own[ch]
+            if s == 0:
+                self.root[c] = t
+            if c < self.width:
+                self.table[s, c] = t
+            else:
+                rare.append((s * self.n + c, t))
+        self.keys, self.targets = np.array(sorted(rare), np.int64).reshape(-1, 2).T.copy()
+
+    def after(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The states after letters c (of this language's columns); -1 where there is none."""
+        if not len(self.keys):
+            return self.table[state, c].astype(np.int64)
+        out = self.table[state, np.where(c < self.width, c, 1)].astype(np.int64)
+        rare = np.flatnonzero(c >= self.width)
+        key = state[rare] * self.n + c[rare]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        out[rare] = np.where(self.keys[at] == key, self.targets[at], -1)
+        return out
+
+
 class Parser:
-    """Phrases that texts take with each language's automaton. The automata are tables of state x letter, so that all new words of
-    a batch take their steps together."""
+    """Phrases that texts take with each language's automaton. All new words of a batch take their steps together."""
 
     loaded: dict = {}
 
     def __init__(self, words: dict[str, str]):
         self.langs = sorted(words)
-        seen = Counter(ch for w in words.values() for ch in w)
-        letters = [ch for ch, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET] if ord(ch) < 1 << 16]
-        self.code = np.ones(1 << 16, np.int64)  # 0: after the word's end, 1: any other letter
-        self.code[[ord(ch) for ch in letters]] = np.arange(2, len(letters) + 2)
-        self.tables = []
-        for lang in self.langs:
-            automaton = {k: t for k, t in suffix_automaton(words[lang]).items() if k[1] in set(letters)}
-            table = np.full((max(automaton.values(), default=0) + 1, len(letters) + 2), -1, np.int32)
-            for (s, ch), t in automaton.items():
-                table[s, self.code[ord(ch)]] = t
-            self.tables.append(table)
+        code = {ch: k for k, ch in enumerate(sorted(set().union(*words.values())), 2)}
+        self.code = np.ones(sys.maxunicode + 1, np.int32)
+        self.code[[ord(ch) for ch in code]] = np.arange(2, len(code) + 2)
+        self.steps = [Steps(words[lang], code, CELLS // len(self.langs)) for lang in self.langs]
         self.known: dict[str, int] = {}
 
     @classmethod
@@ -106,26 +141,26 @@ class Parser:
         out = np.zeros((len(words), len(self.langs)), np.int64)
         length = np.fromiter(map(len, words), np.int64, len(words)) + 2
         codes = np.frombuffer(" ".join(["", *words, ""]).encode("utf-32-le"), np.uint32)
-        codes = np.where(codes < 1 << 16, self.code[np.minimum(codes, (1 << 16) - 1)], 1)
+        codes = self.code[codes]
         starts = np.cumsum(length - 1) - (length - 1)
         size = np.ceil(np.log2(length)).astype(np.int64)
         for k in np.unique(size):
             rows = np.flatnonzero(size == k)
             for at in range(0, len(rows), max(1, (1 << 22) >> k)):
                 part = rows[at : at + max(1, (1 << 22) >> k)]
-                for n, table in enumerate(self.tables):
-                    out[part, n] = self.parse(table, codes, starts[part], length[part])
+                for n, steps in enumerate(self.steps):
+                    out[part, n] = self.parse(steps, codes, starts[part], length[part])
         return out
 
     @staticmethod
-    def parse(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def parse(steps: Steps, codes: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
         state, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         for t in range(int(length.max())):
             live = t < length
-            c = np.where(live, codes[np.minimum(starts + t, len(codes) - 1)], 0)
-            after = table[state, c]
+            c = steps.column[np.where(live, codes[np.minimum(starts + t, len(codes) - 1)], 0)]
+            after = steps.after(state, c)
             cut = live & (after < 0)
-            again = table[0, c]
+            again = steps.root[c]
             n += cut & (state != 0)
             n += cut & (again < 0)
             state = np.where(live, np.where(cut, np.maximum(again, 0), after), state)

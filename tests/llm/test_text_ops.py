@@ -197,6 +197,24 @@ def test_language(spark):
     assert langid.identify(frame(spark, []), words).count() == 0
 
 
+@pytest.mark.parametrize("cells", [None, 1])
+def test_language_of_many_letters(monkeypatch, cells):
+    """Every learned letter tells languages apart, however many there are, and those above U+FFFF too."""
+    if cells:
+        monkeypatch.setattr(langid, "CELLS", cells)
+    rng = random.Random(3)
+    alphabets = {"han1": [chr(0x4E00 + i) for i in range(300)], "han2": [chr(0x5E00 + i) for i in range(300)], "cuneiform": [chr(0x12000 + i) for i in range(200)], "greek": list("αβγδεζηθικλμνξοπρστυφχψω"), "latin": list("abcdefghijklmnopqrstuvwxyz")}
+    word = lambda k: "".join(rng.choice(alphabets[k]) for _ in range(rng.randint(2, 6)))
+    words = {k: f" {' '.join(word(k) for _ in range(3000 if k == 'latin' else 400))} " for k in alphabets}
+    parser = langid.Parser(words)
+    automata = [langid.suffix_automaton(words[k]) for k in parser.langs]
+    sample = [word(k) for k in alphabets for _ in range(30)] + ["日本", "\U00020000x", words["han1"].split()[0] + "a"]
+    assert parser.counts(sample).tolist() == [[langid.phrases(a, f" {w} ") for a in automata] for w in sample]
+    for k in alphabets:
+        (got, score), = parser.predict([" ".join(words[k].split()[-20:])])
+        assert got == k and score > 0.6
+
+
 def test_classifier(spark):
     rng = random.Random(3)
     good = lambda: (sentence(rng, rng.randint(20, 200)) + ".").capitalize()
