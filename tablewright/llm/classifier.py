@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import LOWER, SPACES, crc32_of_id, map_rows, mix64, shingles, ship, small_batches, word_bounds, word_hashes
+from tablewright.llm.common import SPACES, Segment, crc32_of_id, distinct, map_rows, mix64, segments, shingles, ship, word_bounds
 
 BITS = 18
 #: The bounded training sample: labelled rows that are learned from, about so many.
@@ -36,45 +36,69 @@ def _kinds() -> np.ndarray:
 _KIND = _kinds()
 
 
-def shapes(data: bytes, words: np.ndarray) -> np.ndarray:
-    """A small number for each word's shape."""
-    start, end = word_bounds(data)
-    kind = _KIND[np.frombuffer(data, np.uint8)]
+def shapes(seg: Segment) -> np.ndarray:
+    """A small number, below SHAPES, for the shape of each word of a segment's texts as they are."""
+    start, end = word_bounds(seg.data)
+    kind = _KIND[np.frombuffer(seg.data, np.uint8)]
     upper = np.add.reduceat((kind == 2).astype(np.int64), start)
     lower = np.add.reduceat((kind == 1).astype(np.int64), start)
     digit = np.add.reduceat((kind == 3).astype(np.int64), start) > 0
     case = np.where(upper == 0, 0, np.where((upper == 1) & (lower > 0), 1, np.where(upper > lower, 3, 2)))
-    same = np.concatenate(([False], words[1:] == words[:-1]))
+    same = np.concatenate(([False], seg.hashes[1:] == seg.hashes[:-1]))
+    same[seg.first[:-1][seg.counts > 0]] = False
     long = np.minimum(np.log2(end - start).astype(np.int64), 5)
     return (((case * 9 + kind[end - 1]) * 2 + digit) * 2 + same) * 6 + long
 
 
-def shares(values: np.ndarray, salt: int) -> list[np.ndarray]:
-    """Indicators of each value, and of each share that it reaches."""
-    seen, count = np.unique(values, return_counts=True)
-    out = [mix64(seen + np.uint64(salt << 40))]
+def shares(values: np.ndarray, owner: np.ndarray, totals: np.ndarray, salt: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Indicators, with their texts, of each text's values (below 2**22), and of each share of the text's values that one reaches."""
+    seen, count = np.unique(owner << 22 | values, return_counts=True)
+    own, value = seen >> 22, (seen & (1 << 22) - 1).astype(np.uint64)
+    out = [(own, mix64(value + np.uint64(salt << 40)))]
     for k, share in enumerate(SHARES):
-        out.append(mix64(seen[count >= share * len(values)] + np.uint64((salt << 40) + (k + 1 << 48))))
+        high = count >= share * totals[own]
+        out.append((own[high], mix64(value[high] + np.uint64((salt << 40) + (k + 1 << 48)))))
     return out
 
 
-def repeats(values, salt: int) -> np.ndarray:
-    """Indicators of the shares that the repeats among values reach."""
-    n = len(values)
-    share = 1 - len(set(values) if isinstance(values, list) else np.unique(values)) / n if n else 0
-    return mix64(np.array([(salt << 40) + k for k, s in enumerate(SHARES) if share >= s], np.uint64))
+def repeats(distinct: np.ndarray, totals: np.ndarray, salt: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Indicators, with their texts, of the shares that repeats among a text's values reach."""
+    share = 1 - distinct / np.maximum(totals, 1)
+    out = []
+    for k, s in enumerate(SHARES):
+        own = np.flatnonzero((share >= s) & (totals > 0))
+        out.append((own, np.full(len(own), mix64(np.array([(salt << 40) + k], np.uint64))[0])))
+    return out
 
 
-def features(text: bytes | None) -> np.ndarray:
-    """Sorted distinct indicator numbers below 2**BITS; none for a text without words."""
-    data = text or b""
-    words = word_hashes(data.translate(LOWER))
-    if not len(words):
-        return np.empty(0, np.int32)
-    shape = shapes(data, word_hashes(data)).astype(np.uint64)
-    lines = [x for x in data.split(b"\n") if x.strip(SPACES)]
-    parts = [words, shingles(words, 2), *shares(shape, 1), *shares(shape[1:] * np.uint64(4096) + shape[:-1], 2), repeats(lines, 3), repeats(shingles(words, 5), 4)]
-    return np.unique(np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int32)
+def line_counts(text: bytes | None) -> tuple[int, int]:
+    lines = [x for x in (text or b"").split(b"\n") if x.strip(SPACES)]
+    return len(set(lines)), len(lines)
+
+
+def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct indicator numbers below 2**BITS of each text, one text after another, and how many each has: none for a text
+    without words."""
+    out, sizes = [np.empty(0, np.int32)], []
+    for seg, low in zip(segments(texts), segments(texts, lower=True), strict=True):
+        n, owner, words = seg.texts, seg.owner(), low.hashes
+        if not len(words):
+            sizes.append(np.zeros(n, np.int64))
+            continue
+        two, five, shape = low.inside(2), low.inside(5), shapes(seg)
+        # texts of a segment have 12 bits, shingles of one text are told apart by 52
+        grams = distinct(owner[five].astype(np.uint64) << np.uint64(52) | shingles(words, 5)[five] >> np.uint64(12))
+        lines = np.array([line_counts(t) for t in texts[seg.at : seg.at + n]]).reshape(-1, 2).T
+        lines = np.where(seg.counts > 0, lines, 0)
+        fives = np.bincount(owner[five], minlength=n)
+        parts = [(owner, words), (owner[two], shingles(words, 2)[two])]
+        parts += shares(shape, owner, seg.counts, 1)
+        parts += shares(shape[two + 1] * 4096 + shape[two], owner[two], np.maximum(seg.counts - 1, 1), 2)
+        parts += repeats(lines[0], lines[1], 3) + repeats(np.bincount((grams >> np.uint64(52)).astype(np.int64), minlength=n), fives, 4)
+        key = distinct(np.concatenate([own << BITS | (x >> np.uint64(64 - BITS)).astype(np.int64) for own, x in parts]))
+        out.append((key & (1 << BITS) - 1).astype(np.int32))
+        sizes.append(np.bincount(key >> BITS, minlength=n))
+    return np.concatenate(out), np.concatenate(sizes) if sizes else np.empty(0, np.int64)
 
 
 @dataclass
@@ -85,12 +109,18 @@ class Model:
     slope: float
     offset: float
 
-    def margin(self, x: np.ndarray) -> float:
-        length = float(self.scale[x].sum()) ** 0.5 if len(x) else 0.0
-        return (float(self.weight[x].sum()) / length if length else 0.0) + self.bias
+    def margins(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of texts whose indicators are x, one text after another."""
+        out, some = np.full(len(sizes), self.bias), np.flatnonzero(sizes)
+        if len(some):
+            begin = (np.cumsum(sizes) - sizes)[some]
+            length = np.sqrt(np.add.reduceat(self.scale[x].astype(np.float64), begin))
+            worth = np.add.reduceat(self.weight[x].astype(np.float64), begin)
+            out[some] += np.where(length > 0, worth / np.maximum(length, 1e-30), 0.0)
+        return out
 
-    def score(self, x: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.offset, -30, 30))))
+    def scores(self, texts: list[bytes | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(*features(texts)) + self.offset, -30, 30)))
 
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -111,8 +141,8 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.nda
         for i in rng.permutation(len(y)):
             x = rows[i]
             values = ratio[x] / norm[i]
-            slope = y[i] * (float(w[x] @ values) + bias) - 1
-            new = min(max(dual[i] - slope / (float(values @ values) + 1), 0.0), each[int(y[i])])
+            slope = y[i] * (float((w[x] * values).sum()) + bias) - 1
+            new = min(max(dual[i] - slope / (float((values * values).sum()) + 1), 0.0), each[int(y[i])])
             if new != dual[i]:
                 step = (new - dual[i]) * y[i]
                 most = max(most, abs(step))
@@ -134,7 +164,7 @@ def calibrated(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         g, h = p - target, np.maximum(p * (1 - p), 1e-9)
         grad = np.array([(g * margins).sum() + 1e-3 * a, g.sum()])
         hess = np.array([[(h * margins**2).sum() + 1e-3, (h * margins).sum()], [(h * margins).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(hess, grad)
+        step = np.array([hess[1, 1] * grad[0] - hess[0, 1] * grad[1], hess[0, 0] * grad[1] - hess[1, 0] * grad[0]]) / (hess[0, 0] * hess[1, 1] - hess[0, 1] ** 2)
         a, b = a - step[0], b - step[1]
         if abs(step).max() < 1e-6:
             break
@@ -155,7 +185,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
     rows = docs.join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "label", "part", F.col("text").cast("binary").alias("text"))
 
     def make():
-        return lambda rows: {"doc_id": rows["doc_id"], "label": rows["label"], "part": rows["part"], "x": [features(t).tobytes() for t in rows["text"]]}
+        def fn(rows):
+            x, sizes = features(rows["text"])
+            ends = np.cumsum(sizes).tolist()
+            return {"doc_id": rows["doc_id"], "label": rows["label"], "part": rows["part"], "x": [x[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]}
+
+        return fn
 
     got = sorted(map_rows(rows, make, "doc_id long, label int, part long, x binary").toLocalIterator(), key=lambda r: (r["doc_id"], r["x"]))
     x = [np.frombuffer(bytes(r["x"]), np.int32) for r in got]
@@ -169,7 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
     w, bias = dual_coordinate_descent([v for v, f in zip(x, fit, strict=True) if f], y[fit], ratio)
     model = Model((w * ratio).astype(np.float32), (ratio**2).astype(np.float32), bias, 1.0, 0.0)
     check = ~fit if len({*y[~fit].tolist()}) == 2 else fit
-    model.slope, model.offset = calibrated(np.array([model.margin(v) for v, c in zip(x, check, strict=True) if c]), y[check])
+    held_x = [v for v, c in zip(x, check, strict=True) if c]
+    model.slope, model.offset = calibrated(model.margins(np.concatenate(held_x), np.array([len(v) for v in held_x])), y[check])
     return model
 
 
@@ -182,7 +218,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def make():
-        return lambda rows: {"doc_id": rows["doc_id"], "score": [model.score(features(t)) for t in rows["text"]]}
+        return lambda rows: {"doc_id": rows["doc_id"], "score": model.scores(rows["text"])}
 
     return map_rows(docs.select("doc_id", F.col("text").cast("binary").alias("text")), make, "doc_id long, score double")
 
@@ -190,10 +226,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """The documents with a score of `threshold` or more, with all their columns; nothing is shuffled."""
     ship(docs.sparkSession)
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scores(text: pd.Series) -> pd.Series:
-        return pd.Series([model.score(features(t)) for t in text], dtype="float64")
+        return pd.Series(model.scores(text.tolist()), dtype="float64")
 
     return docs.where(scores(F.col("text").cast("binary")) >= threshold)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -14,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text that one Arrow batch holds, so that a Python worker's memory stays bounded.
-BATCH_ROWS = 1000
+#: Rows, and bytes of text about, that a Python function gets at once, so that a worker's memory stays bounded.
+BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
 
 #: Word separators of the contracts: space and the ASCII controls 9 to 13.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -33,13 +34,15 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder of spark.checkpoint.dir. Only a local session, whose workers see the driver's disk, may name none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -62,11 +65,6 @@ def unstash(df: DataFrame | None) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package, where their PYTHONPATH doesn't have it."""
     sc, package = spark.sparkContext, Path(__file__).resolve().parents[1]
@@ -83,23 +81,42 @@ def ship(spark: SparkSession) -> None:
 _shipped: set[str] = set()
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """mapInArrow with columns as Python lists. make() builds a task's function, once in each task."""
-    small_batches(df.sparkSession)
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most BATCH_ROWS rows and about BATCH_BYTES bytes (a longer row is a part of its own)."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(BATCH_ROWS, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > BATCH_BYTES:
+            n //= 2
+        yield batch.slice(at, n)
+        at += n
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict]], schema: str) -> DataFrame:
+    """mapInArrow with columns as Python lists. make() builds a task's function, once in each task; what that returns for a column is
+    a list, a numpy array or an Arrow array."""
     ship(df.sparkSession)
-    names = [c for c in df.columns]
+    names = list(df.columns)
+    kinds = {part.split()[0]: KINDS[part.split()[1]] for part in schema.split(", ")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            got = fn({n: batch.column(i).to_pylist() for i, n in enumerate(names)})
-            if got and len(next(iter(got.values()))):
-                yield pa.RecordBatch.from_arrays([pa.array(v) if isinstance(v, np.ndarray) else pa.array(v, type=KINDS.get(schema_types[k])) for k, v in got.items()], names=list(got))
+            for part in pieces(batch):
+                got = fn({n: part.column(i).to_pylist() for i, n in enumerate(names)})
+                arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=kinds[k]) for k, v in got.items()]
+                if arrays and len(arrays[0]):
+                    yield pa.RecordBatch.from_arrays(arrays, names=list(got))
 
-    schema_types = {p.split()[0]: p.split()[1] for p in schema.split(", ")}
     return df.mapInArrow(run, schema)
 
 
+def ragged(parts: list[np.ndarray], lengths: np.ndarray) -> pa.ListArray:
+    """A list for each row, from the values of all rows one after another and the rows' lengths."""
+    values = np.concatenate(parts) if parts else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
 KINDS = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
     "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary()),
@@ -142,6 +159,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting: for random 64-bit values far faster than a hash table."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets at which words start and end."""
     if not data:
@@ -188,7 +211,64 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
-def shingle_set(data: bytes | None, k: int = 5) -> np.ndarray:
-    """Sorted distinct k-word shingles of lower-cased UTF-8; the whole sequence as one where it has fewer words."""
-    words = word_hashes((data or b"").translate(LOWER))
-    return np.unique(shingles(words, min(k, len(words)))) if len(words) else words
+@dataclass
+class Segment:
+    """Some texts one after another, and the hashes of all their words, so that many short texts are hashed together."""
+
+    at: int  # which of the texts is the first
+    data: bytes  # the texts, joined by spaces
+    hashes: np.ndarray
+    first: np.ndarray  # number of the first word of each text, and of all words
+
+    @property
+    def texts(self) -> int:
+        return len(self.first) - 1
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    def owner(self) -> np.ndarray:
+        """Which of the segment's texts each word belongs to."""
+        return np.repeat(np.arange(self.texts), self.counts)
+
+    def inside(self, k: int) -> np.ndarray:
+        """The words at which k words of one text start."""
+        n = len(self.hashes) - k + 1
+        return np.flatnonzero(np.arange(n) + k <= np.repeat(self.first[1:], self.counts)[:n]) if n > 0 else np.empty(0, np.int64)
+
+
+def segments(texts: list[bytes | None], lower: bool = False) -> Iterator[Segment]:
+    """Segments of about BLOCK bytes; a text of more is a segment of its own."""
+    at, n = 0, len(texts)
+    while at < n:
+        end, size = at + 1, len(texts[at] or b"") + 1
+        while end < n and size + len(texts[end] or b"") < BLOCK:
+            size += len(texts[end] or b"") + 1
+            end += 1
+        group = [t or b"" for t in texts[at:end]]
+        data = b" ".join(group)
+        if lower:
+            data = data.translate(LOWER)
+        if len(group) == 1:
+            hashes = word_hashes(data)
+            first = np.array([0, len(hashes)])
+        else:
+            begins = np.cumsum([0, *(len(t) + 1 for t in group)])
+            starts, _ = word_bounds(data)
+            hashes, first = word_hashes_block(data), np.searchsorted(starts, begins)
+        yield Segment(at, data, hashes, first)
+        at = end
+
+
+def shingle_sets(texts: list[bytes | None], k: int = 5) -> list[np.ndarray]:
+    """Of each text, the sorted distinct k-word shingles of its lower-cased UTF-8; the whole sequence as one where it has fewer words."""
+    out = []
+    for seg in segments(texts, lower=True):
+        grams = shingles(seg.hashes, k)
+        for a, b in zip(seg.first[:-1].tolist(), seg.first[1:].tolist(), strict=True):
+            if b - a >= k:
+                out.append(distinct(grams[a : b - k + 1]))
+            else:
+                out.append(shingles(seg.hashes[a:b], b - a) if b > a else np.empty(0, np.uint64))
+    return out

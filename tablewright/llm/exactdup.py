@@ -1,8 +1,9 @@
 """Exact duplicates by composable polynomial fingerprints, confirmed by chunkwise comparison.
 
 A text's fingerprint is its bytes as a polynomial, modulo two primes. Chunks are hashed on their own and combined by
-length-shifted arithmetic: H(ab) = H(a) * base**len(b) + H(b); so a huge text never needs more than one chunk's working memory,
-and its chunks could be hashed anywhere. Texts of equal fingerprint and length are then compared chunk by chunk:
+length-shifted arithmetic: H(ab) = H(a) * base**len(b) + H(b). A text of more than LONG bytes is dealt out as chunks, which are hashed
+wherever they land: each is shifted by the bytes that follow it, and the sum of a text's shifted chunks is its fingerprint.
+Shorter texts are combined chunk by chunk where they are. Texts of equal fingerprint and length are then compared chunk by chunk:
 an aggregation keeps the distinct contents of each chunk of each fingerprint, combined before it shuffles, so that a group of
 any number of copies sends one chunk a task. Where some chunk has two contents, the fingerprints collided, and the SHA-256 of
 the texts tells the group's members apart.
@@ -13,18 +14,18 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import LOWER, map_rows, stash
+from tablewright.llm.common import LOWER, map_rows, stash, unstash
 
 CHUNK = 1 << 16
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Primes below 2**31, so that the sum of a chunk's products stays below 2**63; and a base for each.
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1220703125)
-#: Fingerprints of repeated texts that are broadcast at most (about 32 bytes each); beyond it, all chunks are compared.
-BROADCAST_ROWS = 500_000
+#: Bytes from which a text's chunks are dealt out.
+LONG = 1 << 24
 
 
 def powers(base: int, prime: int) -> np.ndarray:
@@ -66,8 +67,12 @@ def normalised(text: bytes | None) -> bytes:
     return (text or b"").translate(LOWER)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, n_bytes, text_sha256 of each row's normalised text."""
+def lowered() -> Column:
+    return F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower())
+
+
+def fingerprints(docs: DataFrame, long: int = LONG) -> DataFrame:
+    """doc_id, fp, n_bytes, text_sha256 of each row's normalised text; null texts count as empty, repeated rows stay."""
 
     def make():
         def fn(rows):
@@ -76,11 +81,38 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
         return fn
 
-    return map_rows(docs.select("doc_id", F.col("text").cast("binary").alias("text")), make, "doc_id long, fp long, n_bytes long, text_sha256 string")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    short = docs.where(size <= long).select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = docs.where(size > long).select("doc_id", size.cast("long").alias("n_bytes"), F.sha2(lowered().cast("binary"), 256).alias("text_sha256"), lowered().cast("binary").alias("text"))
+    of_long = rows.select("doc_id", "n_bytes", "text_sha256").join(long_fingerprints(rows), ["text_sha256", "n_bytes"])
+    return map_rows(short, make, "doc_id long, fp long, n_bytes long, text_sha256 string").union(of_long.select("doc_id", "fp", "n_bytes", "text_sha256"))
+
+
+def long_fingerprints(rows: DataFrame) -> DataFrame:
+    """text_sha256, n_bytes and fp of the distinct texts of rows (with text, normalised), by chunks that are hashed in parallel."""
+
+    def make():
+        def fn(got):
+            out: dict = {k: got[k] for k in ("text_sha256", "n_bytes", "chunk_no")} | {"h0": [], "h1": []}
+            for no, size, part in zip(got["chunk_no"], got["n_bytes"], got["chunk"], strict=True):
+                after = size - no * CHUNK - len(part)
+                for k in (0, 1):
+                    out[f"h{k}"].append(combine(chunk_hash(part, k), 0, after, k))
+            return out
+
+        return fn
+
+    numbers = F.sequence(F.lit(0), F.floor((F.col("n_bytes") - 1) / CHUNK).cast("int"))
+    parts = rows.select("text_sha256", "n_bytes", "text", F.explode(numbers).alias("chunk_no"))
+    parts = parts.select("text_sha256", "n_bytes", "chunk_no", F.expr(f"substring(text, chunk_no * {CHUNK} + 1, {CHUNK})").alias("chunk")).repartition("text_sha256", "chunk_no")
+    hashed = map_rows(parts, make, "text_sha256 string, n_bytes long, chunk_no int, h0 long, h1 long")
+    once = hashed.groupBy("text_sha256", "n_bytes", "chunk_no").agg(F.min("h0").alias("h0"), F.min("h1").alias("h1"))
+    h0, h1 = (F.pmod(F.sum(f"h{k}"), F.lit(PRIMES[k])) for k in (0, 1))
+    return once.groupBy("text_sha256", "n_bytes").agg((F.shiftleft(h0, 31).bitwiseOR(h1)).alias("fp"))
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """fp, n_bytes, chunk_no and chunk of each row's normalised text."""
+    """fp, n_bytes, chunk_no and chunk of each row's normalised text; null and empty texts have no chunk."""
 
     def make():
         def fn(rows):
@@ -105,11 +137,15 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     doc_id at all, keep_id is null and its rows stay. An empty table gives no rows.
     Returns doc_id, keep_id, group_size, kept, text_sha256, one row for each row.
     """
+    return _exact_duplicates(docs)[0]
+
+
+def _exact_duplicates(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """exact_duplicates(), and what was written for it."""
     marked = stash(fingerprints(docs))
     repeated = stash(marked.groupBy("fp", "n_bytes").agg(F.count("*").alias("n")).where("n > 1").select("fp", "n_bytes"))
-    parts = chunks(docs)
-    if repeated.count() <= BROADCAST_ROWS:
-        parts = parts.join(F.broadcast(repeated), ["fp", "n_bytes"], "left_semi")
+    # the written table's size decides how it is joined
+    parts = chunks(docs).join(repeated, ["fp", "n_bytes"], "left_semi")
     contents = parts.groupBy("fp", "n_bytes", "chunk_no", "chunk").agg(F.lit(1).alias("one"))
     collided = stash(contents.groupBy("fp", "n_bytes", "chunk_no").count().where("count > 1").select("fp", "n_bytes").distinct())
 
@@ -123,15 +159,20 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     groups = split.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     out = split.join(groups, key, "left")
     size = F.coalesce("group_size", F.lit(1))
-    return out.select(
+    unstash(repeated)
+    out = out.select(
         "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), size.cast("long").alias("group_size"),
         (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256",
     )
+    return out, [marked, collided]
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that exact_duplicates() keeps, with all their columns; of rows that repeat a doc_id and its text, one."""
-    found = stash(exact_duplicates(docs))
+    found, written = _exact_duplicates(docs)
+    found = stash(found)
+    for old in written:
+        unstash(old)
     gone = found.where("not kept").select("doc_id", "text_sha256")
     again = stash(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
@@ -141,7 +182,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     d, r = docs.alias("d"), again.alias("r")
     once = d.join(r, same("d", "r"), "left_anti")
     once = once.join(gone.select(F.col("doc_id").alias("gone_id")), F.col("d.doc_id") == F.col("gone_id"), "left_anti")
-    sha = F.sha2(F.translate(F.coalesce(F.col("d.text"), F.lit("")), UPPER, UPPER.lower()).cast("binary"), 256)
+    sha = F.sha2(lowered().cast("binary"), 256)
     more = d.join(r, same("d", "r"), "left_semi").withColumn("sha_of_text", sha).alias("d")
     more = more.join(gone.alias("g"), same("d", "g") & (F.col("d.sha_of_text") == F.col("g.text_sha256")), "left_anti")
     return once.select(docs.columns).union(more.dropDuplicates(["doc_id", "sha_of_text"]).select(docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import NOT_SPACE
+from tablewright.llm.common import NOT_SPACE, stash
 
 #: Hash buckets of a source (hexadecimal digits), whose sums give every document its place in the source's seeded order.
 DIGITS = 3
@@ -41,6 +41,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     """
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)).cast("long").alias("size"))
     sized = sized.withColumn("place", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+    sized = stash(sized)  # counted once; narrow
     sized = sized.withColumn("bucket", F.substring("place", 1, DIGITS)).withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
 
     buckets = sized.groupBy("source_key", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))

@@ -2,12 +2,17 @@
 
 Every full `length` tokens of a document are a sequence of their own; the remainders are packed. Their lengths, in steps of STEP
 tokens, are counted on the cluster; this histogram, of a fixed size, is all that the driver gets. The linear program
-over it covers each class of lengths with patterns (ways to fill one sequence) by as few sequences as can be: a restricted
-program gives a price to each class, a knapsack by dynamic programming finds the pattern of most worth at these prices, and it
-enters the program, until no pattern is worth more than a sequence. Patterns are used, the fullest in real tokens first, as often as the solution
-says, rounded down, while little stays empty; full ones once more where the classes still have documents, then by first fit. Documents are ranked within their class
-on the cluster, and their ranks give each its pattern, sequence and place. All that is left, be it few items or the
-whole table, is laid end to end and cut at the bounds of sequences, the last of which are powers of two, without padding.
+over it covers each class of lengths with patterns (ways to fill one sequence) by as few sequences as can be. It starts from first-fit
+patterns; the restricted program gives a price to each class, a knapsack by dynamic programming finds the pattern of most
+worth at these prices, and it enters the program, until no pattern is worth more than a sequence or the sequences are proven
+to be within GAP of the fewest. Patterns are used, the fullest in real tokens first, as often as the solution says,
+rounded down, while little stays empty; full ones once more where the classes still have documents, then by first fit. Documents
+are ranked within their class on the cluster, and their ranks give each its pattern, sequence and place. All that is left, be it
+few items or the whole table, is laid end to end and cut at the bounds of sequences, the last of which are powers of two, without
+padding.
+
+The program's algebra is written in plain sums, without matrix products: the threads of a linear-algebra library may not outlive
+the process's fork at the start of a Spark session.
 """
 
 from __future__ import annotations
@@ -21,13 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import map_rows, stash
-from tablewright.llm.tokens import ChunkTokens
+from tablewright.llm.tokens import ChunkTokens, proven
 
 STEP = 4
-#: Rounds of column generation at most; the program is feasible after each.
-ROUNDS = 1500
-#: Column generation also ends when its sequences are proven to be within this share of the fewest.
-GAP = 5e-4
+#: Column generation ends when its sequences are proven to be within this share of the fewest.
+GAP = 1e-5
+#: Share by which demands are moved, against ties among the program's solutions.
+SHIFT = 1e-3
 #: Documents of a class that are ranked together, on average.
 GROUP_ROWS = 2000
 #: Sequences of patterns are at least so full together, in real tokens, and those of one pattern at least FLOOR; first fit makes none
@@ -36,24 +41,21 @@ FULLNESS, FLOOR = 0.985, 0.9
 
 
 def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The pattern of most worth, and its worth: unbounded knapsack by dynamic programming. sizes ascend."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    """The pattern of most worth, and its worth: unbounded knapsack by dynamic programming."""
+    worth_of = np.full(capacity + 1, -np.inf)  # of an item of each size
+    worth_of[sizes] = prices
+    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
-        best[c], pick[c] = best[c - 1], -1
-        if n := upto[c]:
-            worth = best[c - sizes[:n]] + prices[:n]
-            k = int(worth.argmax())
-            if worth[k] > best[c]:
-                best[c], pick[c] = worth[k], k
-    pattern, c = np.zeros(len(sizes), np.int64), capacity
+        worth = worth_of[1 : c + 1] + best[c - 1 :: -1]
+        k = int(worth.argmax())
+        best[c], pick[c] = best[c - 1], 0
+        if worth[k] > best[c]:
+            best[c], pick[c] = worth[k], k + 1
+    found, c = np.zeros(capacity + 1, np.int64), capacity
     while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            pattern[pick[c]] += 1
-            c -= sizes[pick[c]]
-    return float(best[capacity]), pattern
+        found[pick[c]] += 1
+        c -= max(int(pick[c]), 1)
+    return float(best[capacity]), found[sizes]
 
 
 def first_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
@@ -66,49 +68,69 @@ def first_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
     return pattern
 
 
-def start_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """A basis with a feasible solution: first-fit patterns, each used until one of its classes is covered."""
+def start_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A basis with a feasible solution, its inverse and the solution: first-fit patterns, each used until one of its classes is covered.
+
+    A pattern holds no class that was covered before, so its entry in the basis is one pivot step on the inverse."""
     left, n = demand.astype(float), len(sizes)
-    basis, times = np.diag(np.maximum(capacity // sizes, 1)).astype(float), np.zeros(n)
+    most = np.maximum(capacity // sizes, 1).astype(float)
+    basis, inverse, times = np.diag(most), np.diag(1 / most), np.zeros(n)
     while (left > 0).any():
         pattern = first_fit(sizes, left, capacity)
         inside = np.flatnonzero(pattern)
         ratio = left[inside] / pattern[inside]
         k = inside[int(ratio.argmin())]
-        basis[:, k], times[k] = pattern, ratio.min()
+        enter_basis(basis, inverse, k, pattern, (inverse * pattern).sum(axis=1))
+        times[k] = ratio.min()
         left[inside] -= times[k] * pattern[inside]
         left[k] = 0.0
         left[left < 1e-9] = 0.0
-    return basis, times
+    return basis, inverse, times
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (a column each) and how often each is used, in fractions: patterns @ times = demand, by few sequences."""
-    basis, times = start_basis(sizes, demand, capacity)
-    inverse = np.linalg.inv(basis)
-    bound = float(demand @ sizes) / capacity
-    for _ in range(rounds):
-        if times.sum() <= bound * (1 + GAP):
-            break
+def enter_basis(basis: np.ndarray, inverse: np.ndarray, k: int, pattern: np.ndarray, enter: np.ndarray) -> None:
+    """Put the pattern in place of the basis's k-th; enter: the pattern in terms of the basis."""
+    basis[:, k] = pattern
+    inverse[k] /= enter[k]
+    others = enter.copy()
+    others[k] = 0.0
+    inverse -= others[:, None] * inverse[k]
+
+
+@dataclass
+class Program:
+    """A solution of the linear program: patterns (a column each), how often each is used, in fractions (patterns @ times = demand), and
+    a bound that no solution is below."""
+
+    patterns: np.ndarray
+    times: np.ndarray
+    bound: float
+    rounds: int
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> Program:
+    """Few sequences for the demand of each class, by pricing until they are within `gap` of the fewest (0: until no pattern helps)."""
+    basis, inverse, times = start_basis(sizes, demand, capacity)
+    stalled, bound, rounds = 0, float((demand * sizes).sum()) / capacity, 0
+    # steps of no length that go on and on would be a circle: what the patterns do not cover is cut by the caller
+    while times.sum() > bound * (1 + gap) and stalled <= 4 * len(sizes) + 100:
         prices = inverse.sum(axis=0)
         worth, pattern = knapsack(prices, sizes, capacity)
-        if worth <= 1 + 1e-6 or times.sum() <= times.sum() / worth * (1 + GAP):
-            break
-        enter = inverse @ pattern
-        positive = enter > 1e-9
-        if not positive.any():
+        # prices divided by the worth are feasible for the dual program, so their value is a bound
+        bound = max(bound, float((prices * demand).sum()) / max(worth, 1.0))
+        if worth <= 1 + 1e-9:
             break
+        enter = (inverse * pattern).sum(axis=1)
+        positive = enter > 1e-6  # smaller pivots would magnify rounding
         ratio = np.where(positive, times / np.where(positive, enter, 1.0), np.inf)
         k = int(ratio.argmin())
         step = max(ratio[k], 0.0)
+        stalled = 0 if step > 1e-9 else stalled + 1
         times = np.maximum(times - step * enter, 0.0)
         times[k] = step
-        inverse[k] /= enter[k]
-        others = enter.copy()
-        others[k] = 0.0
-        inverse -= np.outer(others, inverse[k])
-        basis[:, k] = pattern
-    return basis.astype(np.int64), times
+        enter_basis(basis, inverse, k, pattern, enter)
+        rounds += 1
+    return Program(basis.astype(np.int64), times, bound, rounds)
 
 
 @dataclass
@@ -132,13 +154,15 @@ def plan_patterns(counts: dict[int, int], length: int, tokens: dict[int, int] |
     if not len(sizes):
         return Plan({}, np.zeros(1, np.int64), np.array([-1]), np.array([0]), 0)
     mean = np.array([tokens[int(s)] for s in sizes]) / demand if tokens else sizes * float(STEP)
-    patterns, times = column_generation(sizes, demand.astype(float), capacity)
+    shifted = demand * (1 + SHIFT * np.random.default_rng(1).random(len(demand)))
+    program = column_generation(sizes, shifted, capacity)
+    patterns, times = program.patterns, program.times
     used: list[tuple[np.ndarray, int]] = []
-    left, spare = demand.copy(), (1 - FULLNESS) * float(mean @ demand)  # tokens that may stay empty in all sequences together
+    left, spare = demand.copy(), (1 - FULLNESS) * float((mean * demand).sum())  # tokens that may stay empty in all sequences together
 
     def use(pattern: np.ndarray, n: int) -> bool:
         nonlocal left, spare
-        inside, empty = pattern > 0, max(length - float(pattern @ mean), 1e-9)
+        inside, empty = pattern > 0, max(length - float((pattern * mean).sum()), 1e-9)
         n = min(n, int((left[inside] // pattern[inside]).min()), int(spare / empty)) if inside.any() else 0
         if n > 0:
             used.append((pattern, n))
@@ -146,8 +170,8 @@ def plan_patterns(counts: dict[int, int], length: int, tokens: dict[int, int] |
             spare -= n * empty
         return n > 0
 
-    full = lambda p: float(p @ mean) >= FULLNESS * length
-    fill = mean @ patterns / length
+    full = lambda p: float((p * mean).sum()) >= FULLNESS * length
+    fill = (mean[:, None] * patterns).sum(axis=0) / length
     for k in np.argsort(-fill, kind="stable"):  # the fullest first
         if fill[k] >= FLOOR:
             use(patterns[:, k], int(times[k] + 1e-7))
@@ -178,18 +202,18 @@ def plan_patterns(counts: dict[int, int], length: int, tokens: dict[int, int] |
 
 def encoded(docs: DataFrame, vocabulary: str, length: int, end_id: int) -> DataFrame:
     """Of each document: its tokens with the end, the CRC-32 of each full sequence's ids and of the remainder's."""
-    end = int(end_id).to_bytes(4, "little")
+    end, whole = np.array([end_id], "<u4"), proven(vocabulary)
 
     def make():
-        tokens = ChunkTokens.get(vocabulary, ids=True)
+        tokens = ChunkTokens.get(vocabulary, whole, ids=True)
 
         def fn(rows):
             out: dict = {"doc_id": rows["doc_id"], "text_key": rows["text_key"], "doc_tokens": [], "full": [], "rest_crc": []}
             for ids in tokens.encoded(rows["text"]):
-                ids += end
-                cut = len(ids) - len(ids) % (4 * length)
-                out["doc_tokens"].append(len(ids) // 4)
-                out["full"].append([zlib.crc32(ids[a : a + 4 * length]) for a in range(0, cut, 4 * length)])
+                ids = np.append(ids, end)
+                cut = len(ids) - len(ids) % length
+                out["doc_tokens"].append(len(ids))
+                out["full"].append([zlib.crc32(ids[a : a + length]) for a in range(0, cut, length)])
                 out["rest_crc"].append(zlib.crc32(ids[cut:]))
             return out
 
@@ -203,17 +227,17 @@ def cut_crcs(docs: DataFrame, cuts: DataFrame, vocabulary: str, end_id: int) ->
 
     cuts: doc_id, text_key and plan: the pieces, flattened, of a row that these identify.
     """
-    end = int(end_id).to_bytes(4, "little")
+    end, whole = np.array([end_id], "<u4"), proven(vocabulary)
 
     def make():
-        tokens = ChunkTokens.get(vocabulary, ids=True)
+        tokens = ChunkTokens.get(vocabulary, whole, ids=True)
 
         def fn(rows):
             out: dict = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
             for i, ids, plan in zip(rows["doc_id"], tokens.encoded(rows["text"]), rows["plan"], strict=True):
-                ids += end
+                ids = np.append(ids, end)
                 for start, n, sequence, offset in zip(*[iter(plan)] * 4, strict=True):
-                    for k, v in zip(out, (i, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, sequence, offset), strict=True):
+                    for k, v in zip(out, (i, start, n, zlib.crc32(ids[start : start + n]), len(ids), sequence, offset), strict=True):
                         out[k].append(v)
             return out
 

@@ -1,7 +1,8 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions alone.
 
-Each rule's share of rejected rows and its running time are measured on a sample; the rules then run in the order of
-rejections per second, and a row that one rule rejects is not shown to the next. The order changes the cost, never the verdict.
+On a sample of the rows that pass the base rule, each rule's running time is measured, and which rules reject each row. The
+cascade's first rule is the one with most rejections a second; the next is the one with most among the rows that are left; and so
+on. A row that one rule rejects is not shown to the next. The order changes the cost, never the verdict.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import SPACE_RUN, stash, unstash
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Rows of the sample on which the rules are timed.
-SAMPLE_ROWS = 1000
+#: Rows of the sample on which the rules are timed, about, and how often each is timed.
+SAMPLE_ROWS, REPEAT = 1000, 16
 WINDOW = 5
 
 
@@ -60,6 +61,10 @@ def stutters(hashes: Column) -> Column:
     return F.aggregate(hashes, start, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.coalesce((a["last"] == x).cast("int"), F.lit(0))).alias("n")), lambda a: a["n"])
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 #: A rule is true for a row to be rejected; they see rows with at least one word.
 RULES: dict[str, Callable[[], Column]] = {
     "word_length": lambda: ~F.col("word_chars").between(2 * F.col("n_words"), 15 * F.col("n_words")),
@@ -70,18 +75,41 @@ RULES: dict[str, Callable[[], Column]] = {
 }
 
 
+def cascade_order(costs: dict[str, float], patterns: dict[tuple[bool, ...], int]) -> list[str]:
+    """Rules by rejections per cost among the rows that those before them leave; ties by name. patterns: rows by which rules, in the order
+    of costs, reject them."""
+    names, left, out = list(costs), dict(patterns), []
+    while len(out) < len(names):
+        rejected = {n: sum(c for p, c in left.items() if p[k]) for k, n in enumerate(names) if n not in out}
+        best = min(rejected, key=lambda n: (-rejected[n] / costs[n], costs[n] if not rejected[n] else 0.0, n))
+        out.append(best)
+        left = {p: c for p, c in left.items() if not p[names.index(best)]}
+    return out
+
+
 def ordered_rules(measured: DataFrame, rules: dict[str, Callable[[], Column]] = RULES, rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rules by rejections per second on a sample of at most `rows` rows, the best first; ties by name."""
-    sample = stash(measured.limit(rows).coalesce(1))
-    begun = time.monotonic()
-    total = sample.agg(F.count("*"), F.sum(F.length("text") + F.size("hashes"))).first()[0]
-    base, worth = time.monotonic() - begun, {}
-    for name, rule in rules.items():
+    """The cascade's order, from a sample of about `rows` rows that a hash of doc_id picks.
+
+    Each rule runs over REPEAT copies of the sample, so that its own work outweighs the job's start; what the same job takes without a rule
+    is taken off.
+    """
+    share = min(1.0, rows / max(measured.count(), 1))
+    sample = stash(measured.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)).where(~base_failed()))
+    many = sample.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(REPEAT))))
+
+    def seconds(value: Column) -> float:
         begun = time.monotonic()
-        rejected = sample.agg(F.sum(F.coalesce(rule(), F.lit(False)).cast("int"))).first()[0] or 0
-        worth[name] = rejected / max(total, 1) / max(time.monotonic() - begun - base / 2, 1e-3)
+        many.agg(F.sum(value), F.sum("copy")).collect()
+        return time.monotonic() - begun
+
+    verdict = {n: F.coalesce(rule(), F.lit(False)) for n, rule in rules.items()}
+    read = F.length("text") + F.size("hashes")
+    seconds(read)
+    nothing = seconds(read)
+    costs = {n: max(seconds(read + v.cast("int")) - nothing, 1e-3) for n, v in verdict.items()}
+    counted = sample.groupBy(F.array(*verdict.values()).alias("p")).count().collect()  # a row for each set of rules at most
     unstash(sample)
-    return sorted(rules, key=lambda n: (-worth[n], n))
+    return cascade_order(costs, {tuple(r["p"]): r["count"] for r in counted})
 
 
 def quality_rules(docs: DataFrame, rules: dict[str, Callable[[], Column]] = RULES) -> DataFrame:
@@ -93,7 +121,7 @@ def quality_rules(docs: DataFrame, rules: dict[str, Callable[[], Column]] = RULE
     rule of the cascade that rejected the row.
     """
     m = measures(docs)
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    base = base_failed()
     cascade = F.when(base, F.lit("base"))
     for name in ordered_rules(m, rules):
         cascade = cascade.when(rules[name](), F.lit(name))

@@ -33,8 +33,8 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = F.coalesce(F.pmod(crc32_of_id(), F.lit(4)) == 2, F.lit(False))
-    words = langid.train(docs, learn=~held & F.col("doc_id").isNotNull())
-    return langid.identify(docs, words).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    samples = langid.train(docs, learn=~held & F.col("doc_id").isNotNull())
+    return langid.identify(docs, samples).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

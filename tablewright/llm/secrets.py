@@ -1,8 +1,8 @@
 """Secret scan: patterns, and sliding-window Shannon entropy of candidate strings, in DataFrame functions alone.
 
-The entropy of a window of n characters is log2(n) - sum(c * log2(c)) / n over the counts c of its characters. As the
-window moves by one character, one count falls and one rises, so the sum changes by two differences of f(c) = c * log2(c): the sums
-are kept in millionths, as whole numbers, so that results do not depend on the order of the steps.
+The entropy of a window of n characters is log2(n) - sum(c * log2(c)) / n over the counts c of its characters. The counts are kept in an
+array. As the window moves by one character, one count falls and one rises, so the sum changes by two differences of
+f(c) = c * log2(c): the sums are kept in millionths, as whole numbers, so that results do not depend on the order of the steps.
 """
 
 from __future__ import annotations
@@ -21,29 +21,53 @@ HEX = r"[0-9a-f]{24,}"
 
 WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
-#: Entropy in bits that some window of a candidate must reach, by the candidate's character class; and that class's pattern.
-#: A candidate belongs to the first class that it matches. Letters alone are words, whatever their entropy.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Character classes: a pattern, the entropy in bits that some window of a candidate must reach, and what else it must hold.
+#: A candidate belongs to the first class that it matches. Words and numbers with separators are names, paths and dates, whatever their
+#: entropy; letters alone must hold more consonants in a row than words do.
 CLASSES = (
-    ("words", r"[A-Za-z]+([-_/][A-Za-z]+)*", None),
-    ("digits", r"[0-9]+([-/_][0-9]+)*", None),
-    ("hex", r"[0-9a-fA-F]+", 2.9),
-    ("alphanumeric", r"[A-Za-z0-9]+", 3.4),
-    ("base64", r".+", 3.6),
+    ("names", r"[A-Za-z]+([-_/][A-Za-z]+)+", None, ""),
+    ("numbers", r"[0-9]+([-/_][0-9]+)+", None, ""),
+    ("letters", r"[A-Za-z]+", 3.8, r"[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]{7}"),
+    ("digits", r"[0-9]+", 3.1, ""),
+    ("hex", r"[0-9a-fA-F]+", 2.9, ""),
+    ("alphanumeric", r"[A-Za-z0-9]+", 3.4, ""),
+    ("base64", r".+", 3.6, ""),
 )
-#: Candidates that hold one of these are documentation or rulers, not secrets.
+#: These parts of a candidate are documentation or rulers, not secrets; what is between them is judged.
 ALLOWED = r"(?i)example|sample|placeholder|changeme|dummy|x{6,}|[=_-]{6,}|0{8,}|1234567890|abcdefghij"
 KINDS = ("assign", "access", "hex", "entropy")
 SCALE = 1_000_000
+#: Matches of a text that are placed together: an array grows by one match at a time, and only so far.
+TOGETHER = 512
 
 
 def matches(pattern: str, text: Column) -> Column:
     """start and end (code points) and value of each leftmost non-overlapping match, from the gaps between matches."""
 
     def place(gaps: Column) -> Column:
-        step = lambda a, x, gap: F.struct((a["at"] + F.length(gap) + F.length(x)).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + F.length(gap)).alias("start"), (a["at"] + F.length(gap) + F.length(x)).alias("end"), x.alias("value")))).alias("out"))
-        none = F.array().cast("array<struct<start:int,end:int,value:string>>")
         pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("m"), gaps.alias("gap"))
-        return F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), lambda a, p: step(a, p["m"], p["gap"]), lambda a: a["out"])
+        return let(F.filter(pairs, lambda p: p["m"].isNotNull()), in_blocks)
+
+    def in_blocks(found: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(found) / TOGETHER).cast("int") - 1)
+        return let(F.transform(numbers, lambda b: F.slice(found, b * TOGETHER + 1, F.lit(TOGETHER))), placed)
+
+    def placed(blocks: Column) -> Column:
+        width = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, p: a + F.length(p["gap"]) + F.length(p["m"])))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(width, none, lambda a, w: F.struct((a["at"] + w).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return let(starts, lambda at: F.flatten(F.transform(blocks, lambda block, b: spans(block, F.get(at, b)))))
+
+    def spans(block: Column, at: Column) -> Column:
+        none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+        def step(a: Column, p: Column) -> Column:
+            start = a["at"] + F.length(p["gap"])
+            end = start + F.length(p["m"])
+            return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("value")))).alias("out"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])
 
     found = let(F.split(text, pattern, -1), place)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
@@ -52,28 +76,36 @@ def matches(pattern: str, text: Column) -> Column:
 def highest_entropy(s: Column) -> Column:
     """The highest entropy, in bits, of a window of WINDOW characters of s (at least as long)."""
     table = F.array(*(F.lit(round(SCALE * c * math.log2(c)) if c else 0).cast("long") for c in range(WINDOW + 1)))
-    count = lambda part, ch: F.length(part) - F.length(F.replace(part, ch, F.lit("")))
     f = lambda c: F.get(table, c)
+    letters = F.array(*map(F.lit, ALPHABET))
+    number = lambda at: F.position(s.substr(at, F.lit(1)), F.lit(ALPHABET)) - 1
 
-    def first(part: Column) -> Column:  # each character adds f(c) - f(c - 1) as it enters
-        return F.aggregate(F.sequence(F.lit(1), F.lit(WINDOW)), F.lit(0).cast("long"), lambda a, i: a + let(count(part.substr(F.lit(1), i), part.substr(i, F.lit(1))), lambda c: f(c) - f(c - 1)))
+    def first(part: Column) -> Column:
+        counts = F.transform(letters, lambda ch: F.length(part) - F.length(F.replace(part, ch, F.lit(""))))
+        return let(counts, lambda c: state(c, F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + f(x))))
+
+    def state(counts: Column, total: Column, low: Column | None = None) -> Column:
+        return let(total, lambda t: F.struct(counts.alias("counts"), t.alias("sum"), (t if low is None else F.least(low, t)).alias("low")))
 
     def moved(a: Column, i: Column) -> Column:  # window i loses the character at i - 1, gains the one at i + WINDOW - 1
-        rest = s.substr(i, F.lit(WINDOW - 1))
-        out, new = s.substr(i - 1, F.lit(1)), s.substr(i + WINDOW - 1, F.lit(1))
-        change = let(count(rest, new), lambda c: f(c + 1) - f(c)) - let(count(rest, out), lambda c: f(c + 1) - f(c))
-        return let(a["sum"] + change, lambda t: F.struct(t.alias("sum"), F.least(a["low"], t).alias("low")))
+        return let(number(i - 1), lambda out: let(number(i + WINDOW - 1), lambda new: F.when(out == new, a).otherwise(changed(a, out, new))))
+
+    def changed(a: Column, out: Column, new: Column) -> Column:
+        less, more = F.get(a["counts"], out), F.get(a["counts"], new)
+        counts = F.transform(a["counts"], lambda c, k: c - (k == out).cast("int") + (k == new).cast("int"))
+        return state(counts, a["sum"] + f(less - 1) - f(less) + f(more + 1) - f(more), a["low"])
 
     steps = F.when(F.length(s) > WINDOW, F.sequence(F.lit(2), F.length(s) - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
-    low = let(first(s.substr(F.lit(1), F.lit(WINDOW))), lambda t: F.aggregate(steps, F.struct(t.alias("sum"), t.alias("low")), moved, lambda a: a["low"]))
+    low = let(first(s.substr(F.lit(1), F.lit(WINDOW))), lambda start: F.aggregate(steps, start, moved, lambda a: a["low"]))
     return F.lit(math.log2(WINDOW)) - low / F.lit(float(SCALE * WINDOW))
 
 
 def is_secret(value: Column) -> Column:
     need = F.lit(None).cast("double")
-    for _, pattern, least in reversed(CLASSES):
-        need = F.when(value.rlike(f"^(?:{pattern})$"), F.lit(least).cast("double")).otherwise(need)
-    return F.coalesce(let(need, lambda n: F.when(n.isNotNull() & ~value.rlike(ALLOWED), highest_entropy(value) >= n)), F.lit(False))
+    for _, pattern, least, must in reversed(CLASSES):
+        need = F.when(value.rlike(f"^(?:{pattern})$"), F.when(value.rlike(must), F.lit(least).cast("double"))).otherwise(need)
+    parts = F.filter(F.split(value, ALLOWED, -1), lambda p: F.length(p) >= WINDOW)
+    return F.coalesce(let(need, lambda n: F.when(n.isNotNull(), F.exists(parts, lambda p: highest_entropy(p) >= n))), F.lit(False))
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
@@ -81,7 +113,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text; other columns, whatever their names, are not read. Kinds: assign, access and hex by pattern (matches of
     too few characters are dropped after matching), and entropy: candidates with a window of high entropy for their character
-    class, not on the allow list, and not overlapping a span of another kind. Null and empty texts have none. Null doc_ids and repeated
+    class, outside of what the allow list names, and not overlapping a span of another kind. Null and empty texts have none. Null doc_ids and repeated
     rows pass through, one row out for each row in; an empty table gives no rows.
     Returns doc_id and spans: kind, start, end (code points, end exclusive), by start, then kind in that order.
     """

@@ -3,45 +3,45 @@
 Seeds: of the k-word hashes that a window of `words` words covers, winnowing picks the smallest (the leftmost of equals), from
 the window's content alone. So each occurrence of a window, in any document, is seeded by the same anchor. Consecutive windows
 of one anchor are its run: the anchor extended to both sides, up to all windows that it can seed. Documents are joined on
-anchors. Where all runs of an anchor are equal, they are repeats as they stand, to their whole extent. Where they differ, a match
-ends inside them, and the windows themselves are compared. Adjoining repeated windows then merge into maximal repeats.
+anchors. Occurrences of an anchor whose runs are equal match to the runs' whole extent. Of the different runs of one anchor only the
+one of the smallest doc_id is taken each: a match ends inside them, so their windows are compared one by one. Adjoining repeated
+windows then merge into maximal repeats.
 
-Hot passages are combined before each shuffle: what is gathered for an anchor or a window is two numbers each.
+Each text is hashed once for its anchors and runs, which are kept as two arrays a document; texts are hashed again only where they
+have repeats. Hot passages are combined before each shuffle: what is gathered for an anchor, a run or a window is a few numbers.
+Equal means: of equal 64-bit hashes of the anchor and of the run; for windows, of two hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import map_rows, mix64, shingles, stash, unstash, word_bounds, word_hashes
+from tablewright.llm.common import Segment, map_rows, mix64, ragged, segments, shingles, stash, unstash
 
 SEED = 5
 
 
 class Runs:
-    """The windows of one text, and the runs of windows that share an anchor."""
+    """The windows of a segment's texts, and the runs of windows that share an anchor."""
 
-    def __init__(self, data: bytes | None, words: int, seed: int):
-        self.hashes = word_hashes(data or b"")
-        self.windows = shingles(self.hashes, words)
-        if not len(self.windows):
-            self.starts = self.lengths = np.empty(0, np.int64)
-            self.anchors = np.empty(0, np.uint64)
-            return
-        grams, width = shingles(self.hashes, seed), words - seed + 1
-        low, at = grams[: len(self.windows)].copy(), np.arange(len(self.windows))
+    def __init__(self, seg: Segment, words: int, seed: int):
+        self.at = seg.inside(words)  # the word at which each window starts
+        windows, grams, width = shingles(seg.hashes, words), shingles(seg.hashes, seed), words - seed + 1
+        low, place = grams[: len(windows)].copy(), np.arange(len(windows))
         for j in range(1, width):  # the window's smallest gram, step by step: no table of windows x grams
-            other = grams[j : j + len(self.windows)]
+            other = grams[j : j + len(windows)]
             less = other < low
             low[less] = other[less]
-            at[less] = np.flatnonzero(less) + j
-        self.starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            place[less] = np.flatnonzero(less) + j
+        self.windows, low, place = windows[self.at], low[self.at], place[self.at]
+        self.starts = np.flatnonzero(np.diff(place, prepend=-1)) if len(place) else np.empty(0, np.int64)
         self.lengths = np.diff(np.append(self.starts, len(self.windows)))
-        self.anchors = low[self.starts]
+        self.anchors, self.owner = low[self.starts], seg.owner()[self.at]
 
     def run_ids(self) -> np.ndarray:
         """A hash of each run's windows in their order."""
@@ -50,59 +50,59 @@ class Runs:
         place = (np.arange(len(self.windows)) - np.repeat(self.starts, self.lengths)).astype(np.uint64)
         return np.add.reduceat(mix64(self.windows + place * np.uint64(0x9E3779B97F4A7C15)), self.starts)
 
-    def of(self, anchors: np.ndarray) -> np.ndarray:
-        """Which windows belong to runs of the given anchors."""
-        return np.repeat(np.isin(self.anchors, anchors), self.lengths)
-
-
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def unsigned(x: list[int] | None) -> np.ndarray:
-    return np.array(x or [], np.int64).view(np.uint64)
+    def in_runs(self, wanted: list[list[int] | None]) -> np.ndarray:
+        """Which windows belong to one of the runs that are wanted of their text."""
+        return np.repeat(self._among(self.run_ids(), self.owner[self.starts], wanted), self.lengths)
 
+    def among(self, wanted: list[list[int] | None]) -> np.ndarray:
+        """Which windows are wanted of their text."""
+        return self._among(self.windows, self.owner, wanted)
 
-def _joined(parts: list[np.ndarray], kind=np.int64) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.empty(0, kind)
+    @staticmethod
+    def _among(values: np.ndarray, owner: np.ndarray, wanted: list[list[int] | None]) -> np.ndarray:
+        lists = [np.array(w or [], np.int64).view(np.uint64) for w in wanted]
+        salt = mix64(np.arange(len(lists), dtype=np.uint64) + np.uint64(1))
+        keys = np.concatenate(lists) + np.repeat(salt, [len(x) for x in lists]) if lists else np.empty(0, np.uint64)
+        return np.isin(values + salt[owner], keys)
 
 
-def anchor_runs(docs: DataFrame, words: int, seed: int, with_runs: bool) -> DataFrame:
-    """anchor and doc_id (and run) of each distinct anchor (and run) of a text."""
+def marks(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """doc_id, anchors and runs (in order, a run for each anchor) of each text with a window; null doc_ids and texts have none."""
 
     def make():
         def fn(rows):
-            out: dict = {"anchor": [], "doc_id": []} | ({"run": []} if with_runs else {})
-            for i, t in zip(rows["doc_id"], rows["text"], strict=True):
-                r = Runs(t, words, seed)
-                anchors = r.anchors if with_runs else np.unique(r.anchors)
-                out["anchor"].append(signed(anchors))
-                out["doc_id"].append(np.full(len(anchors), i, np.int64))
-                if with_runs:
-                    out["run"].append(signed(r.run_ids()))
-            return {k: _joined(v) for k, v in out.items()}
+            anchors, runs, sizes = [], [], []
+            for seg in segments(rows["text"]):
+                r = Runs(seg, words, seed)
+                anchors.append(r.anchors)
+                runs.append(r.run_ids())
+                sizes.append(np.bincount(r.owner[r.starts], minlength=seg.texts))
+            sizes = np.concatenate(sizes)
+            return {"doc_id": rows["doc_id"], "anchors": ragged(anchors, sizes), "runs": ragged(runs, sizes)}
 
         return fn
 
-    return map_rows(docs.where("doc_id is not null and text is not null"), make, "anchor long, doc_id long" + ", run long" * with_runs)
+    return map_rows(docs.where("doc_id is not null and text is not null"), make, "doc_id long, anchors array<long>, runs array<long>")
 
 
-def windows_at(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """The distinct windows that a text has in runs of its anchors in `mixed`."""
+def windows_of(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """window, check (a second hash) and doc_id of the windows that a text has in its runs of `open`; null texts have none."""
 
     def make():
         def fn(rows):
-            ids, windows = [], []
-            for i, t, mixed in zip(rows["doc_id"], rows["text"], rows["mixed"], strict=True):
-                r = Runs(t, words, seed)
-                w = np.unique(r.windows[r.of(unsigned(mixed))]) if len(r.windows) else r.windows
-                windows.append(signed(w))
-                ids.append(np.full(len(w), i, np.int64))
-            return {"window": _joined(windows), "doc_id": _joined(ids)}
+            out: dict = {"window": [], "check": [], "doc_id": []}
+            for seg in segments(rows["text"]):
+                r, part = Runs(seg, words, seed), slice(seg.at, seg.at + seg.texts)
+                hit = np.flatnonzero(r.in_runs(rows["open"][part]))
+                check = shingles(mix64(seg.hashes ^ np.uint64(0x5851F42D4C957F2D)), words)
+                out["window"].append(r.windows[hit].view(np.int64))
+                out["check"].append(check[r.at[hit]].view(np.int64))
+                out["doc_id"].append(np.array(rows["doc_id"][part], np.int64)[r.owner[hit]])
+            return {k: np.concatenate(v) for k, v in out.items()}
 
         return fn
 
-    return map_rows(docs.select("doc_id", "text", "mixed"), make, "window long, doc_id long")
+    return map_rows(docs.select("doc_id", "text", "open"), make, "window long, check long, doc_id long")
 
 
 def remove_repeats(docs: DataFrame, words: int = 13, seed: int = SEED) -> DataFrame:
@@ -116,47 +116,55 @@ def remove_repeats(docs: DataFrame, words: int = 13, seed: int = SEED) -> DataFr
     words left, joined by one space), one row for each row.
     """
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    shared = anchor_runs(texts, words, seed, True).groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("run").alias("run"), F.max("run").alias("run_2")).where("first < last")
-    shared = shared.select("anchor", "first", (F.col("run") != F.col("run_2")).alias("differ"))
-    hits = anchor_runs(texts, words, seed, False).join(shared, "anchor").where("differ or first < doc_id")
-    hits = hits.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("differ"), F.col("anchor"))).alias("whole"), F.collect_list(F.when(F.col("differ"), F.col("anchor"))).alias("mixed"))
-    hits = stash(hits)
-
-    seeded = texts.join(hits, "doc_id", "left")
-    found = stash(windows_at(seeded.where("size(mixed) > 0"), words, seed))
-    firsts = found.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
-    flagged = stash(found.join(firsts, "window").where("first < doc_id").groupBy("doc_id").agg(F.collect_list("window").alias("parts")))
+    marked = stash(marks(texts, words, seed))
+    rows = marked.select("doc_id", F.explode(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("runs").alias("run"))).alias("m")).select("doc_id", "m.anchor", "m.run")
+
+    # anchors of two documents or more; written, so that a hot one's rows can be split where they meet it
+    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("run").alias("a"), F.max("run").alias("b"))
+    shared = stash(shared.where("first < last").select("anchor", "first", (F.col("a") != F.col("b")).alias("differ")))
+    met = stash(rows.join(shared, "anchor").where("differ or first < doc_id"))
+    unstash(marked)
+    # of the different runs of an anchor: the smallest document of each
+    smallest = stash(met.where("differ").groupBy("anchor", "run").agg(F.min("doc_id").alias("holder")))
+    other = met.where("differ").join(smallest, ["anchor", "run"]).select("doc_id", "run", (F.col("holder") < F.col("doc_id")).alias("whole"))
+    runs = met.where("not differ").select("doc_id", "run", F.lit(True).alias("whole")).union(other)
+    hits = stash(runs.groupBy("doc_id").agg(F.collect_set(F.when(F.col("whole"), F.col("run"))).alias("whole"), F.collect_set(F.when(~F.col("whole"), F.col("run"))).alias("open")))
+    for old in (shared, met, smallest):
+        unstash(old)
+
+    found = stash(windows_of(texts.join(hits.where("size(open) > 0").select("doc_id", "open"), "doc_id"), words, seed))
+    firsts = stash(found.groupBy("window", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "check", "first"))
+    flagged = stash(found.join(firsts, ["window", "check"]).where("first < doc_id").groupBy("doc_id").agg(F.collect_set("window").alias("parts")))
+    repeats = hits.select("doc_id", "whole").join(flagged, "doc_id", "left").where("size(whole) > 0 or parts is not null")
     unstash(found)
+    unstash(firsts)
 
     def make():
         def fn(rows):
-            out: dict = {"doc_id": rows["doc_id"], "n_words": [], "n_removed": [], "spans": [], "kept_text": []}
-            for t, whole, parts in zip(rows["text"], rows["whole"], rows["parts"], strict=True):
-                t = t or b""
-                if not whole and not parts:
-                    pieces = t.split()
-                    out["n_words"].append(len(pieces))
-                    out["n_removed"].append(0)
-                    out["spans"].append([])
-                    out["kept_text"].append(b" ".join(pieces).decode())
-                    continue
-                r = Runs(t, words, seed)
-                hit = r.of(unsigned(whole)) | np.isin(r.windows, unsigned(parts))
-                at, step = np.flatnonzero(hit), np.zeros(len(r.hashes) + 1, np.int64)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + words, -1)
+            n = len(rows["text"])
+            out: dict = {"doc_id": rows["doc_id"], "n_words": [0] * n, "n_removed": [0] * n, "spans": [[]] * n, "kept_text": [""] * n}
+            touched = [k for k in range(n) if rows["whole"][k] or rows["parts"][k]]
+            for k in set(range(n)).difference(touched):
+                pieces = (rows["text"][k] or b"").split()
+                out["n_words"][k], out["kept_text"][k] = len(pieces), b" ".join(pieces).decode()
+            for seg in segments([rows["text"][k] for k in touched]):
+                ids = touched[seg.at : seg.at + seg.texts]
+                r = Runs(seg, words, seed)
+                at = r.at[r.in_runs([rows["whole"][k] for k in ids]) | r.among([rows["parts"][k] for k in ids])]
+                step = np.zeros(len(seg.hashes) + 1, np.int64)
+                step[at] += 1
+                step[at + words] -= 1
                 gone = np.cumsum(step[:-1]) > 0
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-                start, end = word_bounds(t)
-                out["n_words"].append(len(gone))
-                out["n_removed"].append(int(gone.sum()))
-                out["spans"].append(edges.tolist())
-                out["kept_text"].append(b" ".join(t[a:b] for a, b in zip(start[~gone].tolist(), end[~gone].tolist(), strict=True)).decode())
+                for k, a, b in zip(ids, seg.first[:-1], seg.first[1:], strict=True):
+                    own = gone[a:b]
+                    out["n_words"][k], out["n_removed"][k] = int(b - a), int(own.sum())
+                    out["spans"][k] = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)).tolist()
+                    out["kept_text"][k] = b" ".join(compress(rows["text"][k].split(), (~own).tolist())).decode()
             return out
 
         return fn
 
-    return map_rows(seeded.join(flagged, "doc_id", "left").select("doc_id", "text", "whole", "parts"), make, "doc_id long, n_words long, n_removed long, spans array<long>, kept_text string")
+    return map_rows(texts.join(repeats, "doc_id", "left").select("doc_id", "text", "whole", "parts"), make, "doc_id long, n_words long, n_removed long, spans array<long>, kept_text string")
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], words: int = 13) -> list[tuple[int | None, int, int, str]]:

@@ -1,8 +1,9 @@
 """Token counts by the whole-token shortcut, and token ids, of a word-BPE vocabulary file.
 
 The tokenizer drops white space before it merges, and no pre-token spans white space. So a text's tokens are those of its
-white-space chunks, each taken alone. Which vocabulary strings encode alone as one token is proven once for each worker, by
-encoding every one of them; chunks and pre-tokens among these count as one without any merging, and only the distinct rest are merged.
+white-space chunks, each taken alone. Which vocabulary strings encode alone as one token is proven once, on the driver, by
+encoding every one of them; tasks get the proven ones. Chunks and pre-tokens among these count as one without any merging, and
+only the distinct rest are merged. The distinct chunks of a batch are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ import os
 import re
 import struct
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import map_rows
+from tablewright.llm.common import map_rows, word_bounds, word_hashes
 
-#: Distinct chunks that a worker remembers before it starts anew.
-CACHE = 900_000
-END = "</w>"
+#: Distinct chunks that a worker remembers; when it has so many, those not met again until it has so many anew are forgotten.
+CACHE = 450_000
+END, MARK = "</w>", b"\xff"
 
 
 #: Texts of these characters alone are normalised by lower(), and their chunks split by PRE, as the tokenizer would do it
@@ -34,43 +36,59 @@ def byte_alphabet() -> list[str]:
     return [chr(i if i in plain else next(rest)) for i in range(256)]
 
 
+def proven(path: str) -> list[str]:
+    """The vocabulary strings that, alone, encode as exactly one token: a fixed set, at most of the size of the vocabulary."""
+    if path not in _proven:
+        tok = loaded_tokenizer(path)
+        strings = sorted(s[: -len(END)] for s in tok.get_vocab() if s.endswith(END) and s[: -len(END)].isascii() and s != END)
+        got = tok.encode_batch(strings, add_special_tokens=False)
+        _proven[path] = [s for s, e in zip(strings, got, strict=True) if len(e.ids) == 1 and tok.normalizer.normalize_str(s) == s]
+    return _proven[path]
+
+
+_proven: dict[str, list[str]] = {}
+
+
+def loaded_tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class ChunkTokens:
-    """Tokens of texts from tokens of chunks. ids=True keeps little-endian 32-bit ids, else counts."""
+    """Tokens of texts from tokens of chunks. ids=True keeps little-endian 32-bit ids, else counts. whole: what proven() returns."""
 
     loaded: dict = {}
 
-    def __init__(self, path: str, ids: bool = False):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers
+    def __init__(self, path: str, whole: list[str], ids: bool = False):
+        from tokenizers import normalizers
 
-        self.tok, self.ids = Tokenizer.from_file(path), ids
+        self.tok, self.ids = loaded_tokenizer(path), ids
         special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.special = {s: self.value([i]) for s, i in special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.whole = self.prove()
+        self.whole = {s: self.value([self.tok.token_to_id(s + END)]) for s in whole}
         # merges what is normalised already; a special string that only lower-casing made is ordinary text
-        self.plain = Tokenizer.from_file(path)
+        self.plain = loaded_tokenizer(path)
         self.plain.normalizer, self.plain.encode_special_tokens = normalizers.Sequence([]), True
         self.letters = byte_alphabet()
         self.latin = self.proves_latin()
-        self.known: dict[str, int | bytes] = dict(self.whole)
+        self.proven = {s.encode(): v for s, v in self.whole.items()}
+        self.known: dict[bytes, int | bytes] = dict(self.proven)
+        self.older: dict[bytes, int | bytes] = {}
+        self.met: dict[str, int | bytes] = {}
 
     @classmethod
-    def get(cls, path: str, ids: bool = False) -> ChunkTokens:
+    def get(cls, path: str, whole: list[str], ids: bool = False) -> ChunkTokens:
         """One for each worker, file and kind."""
         if (path, ids) not in cls.loaded:
-            cls.loaded[path, ids] = cls(path, ids)
+            cls.loaded[path, ids] = cls(path, whole, ids)
         return cls.loaded[path, ids]
 
     def value(self, ids: list[int]):
         return struct.pack(f"<{len(ids)}I", *ids) if self.ids else len(ids)
 
-    def prove(self) -> dict[str, int | bytes]:
-        """The vocabulary strings that, alone, encode as exactly one token: a fixed set of the size of the vocabulary."""
-        strings = [s[: -len(END)] for s in self.tok.get_vocab() if s.endswith(END) and s[: -len(END)].isascii() and s != END]
-        got = self.tok.encode_batch(strings, add_special_tokens=False)
-        return {s: self.value(e.ids) for s, e in zip(strings, got, strict=True) if len(e.ids) == 1 and self.tok.normalizer.normalize_str(s) == s}
-
     def proves_latin(self) -> bool:
         """Whether lower() and PRE do what the tokenizer does, tried for every character of LATIN, alone and among letters."""
         chars = [c for c in map(chr, range(0x250)) if LATIN.fullmatch(c) and c.strip()]
@@ -81,67 +99,76 @@ class ChunkTokens:
     def raised(self, piece: str) -> str:
         return piece if piece.isascii() and piece.isprintable() else "".join(self.letters[b] for b in piece.encode())
 
-    def chunks(self, text: str | None) -> tuple[list[str], list]:
-        """White-space chunks of the normalised text, and the values of special strings, each with the number of chunks
-        before it."""
-        out: list[str] = []
-        specials: list[tuple[int, object]] = []
-        for part in self.split.split(text) if text and self.split and "<|" in text else [text]:
+    def normalised(self, text: str | None) -> bytes:
+        """The text as its chunks between spaces, in UTF-8; a special string is a chunk of MARK, which no UTF-8 holds, and its name."""
+        if not text:
+            return b""
+        parts = []
+        for part in self.split.split(text) if self.split and "<|" in text else [text]:
             if part in self.special:
-                specials.append((len(out), self.special[part]))
+                parts.append(MARK + part.encode())
             elif part and self.latin and LATIN.fullmatch(part):
-                out += part.lower().split()
+                parts.append(part.lower().encode())
             elif part:
-                out += self.tok.normalizer.normalize_str(part).split(" ")
-        return out, specials
+                parts.append(self.tok.normalizer.normalize_str(part).encode())
+        return b" ".join(parts)
 
     def pieces(self, chunk: str) -> list[str]:
         """The pre-tokens of a chunk."""
-        if self.latin and (chunk.isascii() and chunk.isalpha() or LATIN.fullmatch(chunk)):
+        if self.latin and LATIN.fullmatch(chunk):
             return [chunk] if chunk.isalpha() else PRE.findall(chunk)
         return [chunk[a:b] for _, (a, b) in self.plain.pre_tokenizer.pre_tokenize_str(chunk)]
 
-    def merged(self, piece: str):
-        """The value of a pre-token that has to be merged."""
-        got = self.plain.model.tokenize(self.raised(piece))
-        return self.value([t.id for t in got]) if self.ids else len(got)
-
-    def learn(self, chunks: set[str]) -> None:
-        """Make every one of the chunks known: proven pre-tokens count as they are, the rest are merged."""
-        new = chunks - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self.known = dict(self.whole)
-            new = chunks - self.known.keys()
-        parts = {c: self.pieces(c) for c in new}
-        rest = list({p for ps in parts.values() for p in ps} - self.known.keys())
-        values = {p: self.merged(p) for p in rest}
-        known, zero = self.known, b"" if self.ids else 0
+    def merged(self, pieces: list[str]) -> list:
+        """The values of pre-tokens that have to be merged."""
+        got = map(self.plain.model.tokenize, map(self.raised, pieces))
+        return [self.value([t.id for t in g]) for g in got] if self.ids else list(map(len, got))
+
+    def learn(self, new: set[bytes]) -> None:
+        """Make the chunks known: proven pre-tokens count as they are, the distinct rest are merged."""
+        if len(self.known) > CACHE + len(self.proven):
+            self.known, self.older, self.met = dict(self.proven), self.known, {}
+        known, older, met = self.known, self.older, self.met
+        known.update((c, older[c]) for c in new & older.keys())
+        parts = {c: self.pieces(c.decode()) for c in new if c not in known and c[:1] != MARK}
+        rest = list({p for ps in parts.values() for p in ps} - self.whole.keys() - met.keys())
+        met.update(zip(rest, self.merged(rest), strict=True))
+        of = lambda p: self.whole[p] if p in self.whole else met[p]
         for c, ps in parts.items():
-            if len(ps) == 1:
-                known[c] = values[ps[0]] if ps[0] in values else known[ps[0]]
-            else:
-                got = [values[p] if p in values else known[p] for p in ps]
-                known[c] = b"".join(got) if self.ids else sum(got, zero)
-        known.update(values)
-
-    def counts(self, texts: list[str | None]) -> list[int]:
+            known[c] = of(ps[0]) if len(ps) == 1 else b"".join(map(of, ps)) if self.ids else sum(map(of, ps))
+        known.update((c, self.special[c[1:].decode()]) for c in new if c[:1] == MARK)
+
+    def values(self, texts: list[str | None]) -> tuple[list, np.ndarray, np.ndarray]:
+        """Values of the distinct chunks of all texts, which of them each chunk is, and the number of each text's first chunk."""
+        parts = [self.normalised(t) for t in texts]
+        data = b" ".join(parts)
+        starts, ends = word_bounds(data)
+        first = np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in parts)]))
+        _, at, which = np.unique(word_hashes(data), return_index=True, return_inverse=True)
+        chunks = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        out = list(map(self.known.get, chunks))
+        missing = [k for k, v in enumerate(out) if v is None]
+        if missing:
+            self.learn({chunks[k] for k in missing})
+            for k in missing:
+                out[k] = self.known[chunks[k]]
+        return out, which, first
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
         """Tokens of each text. Null has none."""
-        parts = [self.chunks(t) for t in texts]
-        self.learn(set().union(*(c for c, _ in parts)))
-        of = self.known.__getitem__
-        return [sum(map(of, chunks)) + len(specials) for chunks, specials in parts]
+        values, which, first = self.values(texts)
+        upto = np.concatenate(([0], np.cumsum(np.array(values, np.int64)[which])))
+        return upto[first[1:]] - upto[first[:-1]]
 
-    def encoded(self, texts: list[str | None]) -> list[bytes]:
+    def encoded(self, texts: list[str | None]) -> list[np.ndarray]:
         """All ids of each text as little-endian unsigned 32-bit numbers."""
-        parts = [self.chunks(t) for t in texts]
-        self.learn(set().union(*(c for c, _ in parts)))
-        out = []
-        for chunks, specials in parts:
-            values = list(map(self.known.__getitem__, chunks))
-            for at, v in reversed(specials):
-                values.insert(at, v)
-            out.append(b"".join(values))
-        return out
+        values, which, first = self.values(texts)
+        pool = np.frombuffer(b"".join(values), "<u4")
+        size = np.array([len(v) // 4 for v in values], np.int64)
+        length, begin = size[which], (np.cumsum(size) - size)[which]
+        upto = np.concatenate(([0], np.cumsum(length)))
+        ids = pool[np.repeat(begin - upto[:-1], length) + np.arange(upto[-1])]
+        return [ids[a:b] for a, b in zip(upto[first[:-1]].tolist(), upto[first[1:]].tolist(), strict=True)]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -152,8 +179,10 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, text: str = "text
     Returns doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
     """
 
+    whole = proven(vocabulary)
+
     def make():
-        tokens = ChunkTokens.get(vocabulary)
+        tokens = ChunkTokens.get(vocabulary, whole)
 
         def fn(rows):
             return {"doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"], "n_tokens": tokens.counts(rows["text"])}

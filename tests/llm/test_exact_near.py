@@ -40,6 +40,17 @@ def test_exact_duplicates(spark):
     assert sorted(got, key=str) == sorted(expected_exact(rows), key=str)
 
 
+def test_long_texts_are_hashed_in_parallel(spark):
+    """Chunks that are hashed apart make the fingerprint of the whole."""
+    rng = random.Random(3)
+    long = sentence(rng, 60_000)
+    rows = [(1, long, "s", "en"), (2, long.upper(), "s", "en"), (1, long, "s", "en"), (3, long[:-1] + "!", "s", "en"), (4, None, "s", "en"), (None, long, "s", "en")]
+    got = exactdup.fingerprints(frame(spark, rows), long=1000).collect()
+    assert sorted((str(r.doc_id), r.fp, r.n_bytes, r.text_sha256) for r in got) == sorted(
+        (str(i), exactdup.fingerprint(lower(t).encode()), len(lower(t).encode()), hashlib.sha256(lower(t).encode()).hexdigest()) for i, t, *_ in rows
+    )
+
+
 def test_exact_collision(spark, monkeypatch):
     """Texts of equal fingerprint and length that differ are told apart."""
     monkeypatch.setattr(exactdup, "fingerprints", lambda d, f=exactdup.fingerprints: f(d).withColumn("fp", exactdup.F.lit(5).cast("long")))
@@ -125,6 +136,15 @@ def test_hot_group_links(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, rows)).collect()} == want
 
 
+def test_large_buckets_are_dealt(spark, monkeypatch):
+    """Buckets above SPLIT, here nearly all, give the same groups."""
+    monkeypatch.setattr(neardup, "SPLIT", 3)
+    monkeypatch.setattr(neardup, "MEET", 4)
+    rows = corpus(2) + [(5000 + i, t, s, x) for i, t, s, x in chain(5, 50)]
+    want = brute_components(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, rows)).collect() if r.doc_id is not None} == want
+
+
 def test_signature_distance_guarantee():
     """Signatures that differ in CHUNKS * (ERRORS + 1) - 1 symbols share a chunk with one symbol left out."""
     rng = np.random.default_rng(1)

@@ -66,12 +66,41 @@ def test_knapsack():
 def test_column_generation_reaches_the_optimum():
     """Rolls of 100 cut into 45, 36, 31 and 14: the known least is 452.25 rolls."""
     sizes, demand = np.array([14, 31, 36, 45]), np.array([211.0, 395.0, 610.0, 97.0])
-    patterns, times = packing.column_generation(sizes, demand, 100)
-    assert np.allclose(patterns @ times, demand) and (patterns.T @ sizes <= 100).all()
-    assert abs(times.sum() - 452.25) < 1e-6
+    got = packing.column_generation(sizes, demand, 100, gap=0)
+    assert np.allclose((got.patterns * got.times).sum(axis=1), demand) and ((got.patterns.T * sizes).sum(axis=1) <= 100).all()
+    assert abs(got.times.sum() - 452.25) < 1e-6 and got.rounds > 0
 
 
-def test_plan_places_every_document_once():
+@pytest.mark.parametrize("n", [1_000, 100_000])
+def test_column_generation_is_within_its_proven_gap(n):
+    lengths = np.exp(np.random.default_rng(1).normal(5.8, 1.0, n)).astype(int) % 2048
+    sizes, demand = np.unique(-(-lengths[lengths > 0] // packing.STEP), return_counts=True)
+    got = packing.column_generation(sizes, demand.astype(float), 2048 // packing.STEP)
+    assert got.rounds > 0 and got.bound <= got.times.sum() <= got.bound * (1 + packing.GAP)
+    assert np.allclose((got.patterns * got.times).sum(axis=1), demand, rtol=0, atol=0.01)
+
+
+def padding_share(plan, tokens, length=2048):
+    """Share of the pattern sequences' room that stays empty, of all tokens; what patterns do not take is cut without padding."""
+    ends = np.append(plan.starts[1:], len(tokens))
+    used = sum(int(tokens[a:b].sum()) for a, b, q in zip(plan.starts, ends, plan.sequence, strict=True) if q >= 0)
+    return (plan.sequences * length - used) / tokens.sum()
+
+
+@pytest.mark.parametrize("lengths", [[1200], [1400, 1600], range(1100, 2001), range(1, 2048), [3], [5], [700, 1300]])
+def test_padding_is_small_whatever_the_lengths(spark, lengths):
+    """Planned after the session's start, in whose process a threaded matrix product may never end."""
+    tokens = np.sort(np.random.default_rng(1).choice(list(lengths), 20_000))
+    classes = -(-tokens // packing.STEP)
+    kinds, n = np.unique(classes, return_counts=True)
+    total = np.bincount(classes, weights=tokens)[kinds]
+    plan = packing.plan_patterns(dict(zip(kinds.tolist(), n.tolist(), strict=True)), 2048, dict(zip(kinds.tolist(), total.tolist(), strict=True)))
+    for k, c in enumerate(kinds):  # ranks tell nothing of the length
+        np.random.default_rng(k).shuffle(tokens[plan.first[int(c)] : plan.first[int(c)] + n[k]])
+    assert padding_share(plan, tokens) <= 0.01
+
+
+def test_plan_places_every_document_once(spark):
     rng = random.Random(2)
     counts = {k: rng.randint(1, 60) for k in rng.sample(range(1, 513), 200)}
     plan = packing.plan_patterns(counts, 2048)
