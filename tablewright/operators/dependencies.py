@@ -19,12 +19,11 @@ NEAR_UNIQUE, NEAR_FD, NEAR_UCC = 0.9, 0.95, 0.99
 MAX_TRIPLES, MAX_PAIR_FDS, MIN_SUPPORT = 400, 1500, 10
 
 
-def table_statistics(df: DataFrame, table: str, eligible: DataFrame | None = None, portable: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(column_stats, combo_stats of pairs, the sample). eligible: table_name, column_name, is_key_eligible; all columns if none."""
-    total = df.count()
+def table_statistics(df: DataFrame, table: str, eligible: DataFrame | None = None, portable: list[str] | None = None, total: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(column_stats, combo_stats of pairs, the sample). eligible: table_name, column_name, is_key_eligible; all columns if none. The sample
+    is a filter on the table, read again for each search, so that nothing has to be kept or freed."""
+    total = df.count() if total is None else total
     sample = combos.sample_rows(df, total, portable)
-    if sample is not df:
-        sample = sample.persist()
     rows = sample.count() if sample is not df else total
     spark = df.sparkSession
     order = spark.createDataFrame([(c, i) for i, c in enumerate(df.columns, 1)], "column_name string, ordinal_position int")
@@ -59,19 +58,25 @@ def scored(uccs: DataFrame) -> DataFrame:
 
 
 def find_uccs(stats: DataFrame, pairs: DataFrame, measure: Callable[[list[list[str]]], DataFrame] | None = None) -> DataFrame:
+    """The combinations of search_uccs()."""
+    return search_uccs(stats, pairs, measure)[0]
+
+
+def search_uccs(stats: DataFrame, pairs: DataFrame, measure: Callable[[list[list[str]]], DataFrame] | None = None) -> tuple[DataFrame, int]:
     """Minimal unique column combinations of up to three columns, best first.
 
     Level 1 compares whole-table counts with all rows; pairs and triples compare sample counts with the sample's rows, may not lean
     on a column that is nearly unique alone, and contain no smaller one. Triples must be able to be unique by the product
     of their cardinalities; of more than MAX_TRIPLES the best-scored are measured. measure: distinct counts of triples, a list of
-    metadata that MAX_TRIPLES bounds; None stops at pairs.
+    metadata that MAX_TRIPLES bounds; None stops at pairs. Also returns how many triples there were to measure, of all tables: where
+    they are more than MAX_TRIPLES of a table, the search is cut.
     """
     one = _parts(stats.where("is_key_eligible = 1 and n_full = total_rows and total_rows > 0").select("table_name", F.array("column_name").alias("cols")), stats)
     two = _parts(pairs, stats).where("n_distinct = row_count and eligible = 1 and not near_unique and total_rows > 0").drop("n_distinct")
     has = lambda small: F.size(F.array_except(small, "cols")) == 0
     taken = one.select("table_name", F.col("cols").alias("small"))
     two = two.join(taken, (two["table_name"] == taken["table_name"]) & has("small"), "left_anti")
-    found = one.unionByName(two)
+    found, n_triples = one.unionByName(two), 0
     if measure is not None:
         names = stats.where("is_key_eligible = 1").select("table_name", "column_name")
         a, b, c = (names.select("table_name", F.col("column_name").alias(k)) for k in "abc")
@@ -79,12 +84,14 @@ def find_uccs(stats: DataFrame, pairs: DataFrame, measure: Callable[[list[list[s
         triples = _parts(triples, stats).where("not near_unique and total_rows > 0").where(product(F.col("counts")) >= F.col("total_rows"))
         small = found.select("table_name", F.col("cols").alias("small"))
         triples = triples.join(small, (triples["table_name"] == small["table_name"]) & has("small"), "left_anti")
-        triples = scored(triples).where(F.col("rank") <= MAX_TRIPLES).drop("ucc_score", "rank")
+        triples = scored(triples)
+        n_triples = triples.count()
+        triples = triples.where(F.col("rank") <= MAX_TRIPLES).drop("ucc_score", "rank")
         wanted = [r["cols"] for r in triples.select("cols").collect()]
         if wanted:
             three = triples.join(measure(wanted), ["table_name", "cols"]).where("n_distinct = row_count").drop("n_distinct")
             found = found.unionByName(three)
-    return scored(found).select("table_name", "cols", "ucc_score", "rank")
+    return scored(found).select("table_name", "cols", "ucc_score", "rank"), n_triples
 
 
 def _directed(stats: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -119,8 +126,8 @@ def find_near_uccs(stats: DataFrame, pairs: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def pair_fd_candidates(stats: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs and dependents worth measuring, the best supported first, MAX_PAIR_FDS a table.
+def pair_fd_candidates(stats: DataFrame, pairs: DataFrame, most: int | None = MAX_PAIR_FDS) -> DataFrame:
+    """Pairs and dependents worth measuring, the best supported first, `most` a table (None: all, so that what is cut can be told).
 
     The pair repeats in MIN_SUPPORT rows at least, no half of it determines the dependent, and none of the dependent's and the halves' counts
     exceeds the pair's.
@@ -134,7 +141,8 @@ def pair_fd_candidates(stats: DataFrame, pairs: DataFrame) -> DataFrame:
         one = sides.select("table_name", F.col("lhs").alias(k), "c", F.col("n_pair").alias(f"n_{k}c"), F.col("holds").alias(f"{k}_holds"))
         d = d.join(one, ["table_name", k, "c"], "left").where(f"not coalesce({k}_holds, false) and coalesce(n_{k}c, 0) <= n_ab")
     order = Window.partitionBy("table_name").orderBy(F.desc("support"), "positions", "position_c")
-    return d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_PAIR_FDS).select("table_name", F.array_sort(F.array("a", "b")).alias("lhs"), F.col("c").alias("rhs"), "support", "n_ab", "rank")
+    d = d.withColumn("rank", F.row_number().over(order))
+    return (d if most is None else d.where(F.col("rank") <= most)).select("table_name", F.array_sort(F.array("a", "b")).alias("lhs"), F.col("c").alias("rhs"), "support", "n_ab", "rank")
 
 
 def find_pair_dependencies(candidates: DataFrame, measure: Callable[[list[list[str]]], DataFrame]) -> DataFrame:

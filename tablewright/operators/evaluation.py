@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.operators.ranked import running_sums
+from tablewright.sources.shared import delete, written
+
 
 def soft_vote(predictions: DataFrame, table: Sequence[str] = ("table_name",)) -> DataFrame:
     """Mean of the columns' class distributions for each table, and its best class, the lowest of equals.
@@ -66,13 +68,11 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
 def curve(scored: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
     """Precision, recall and F1 at each distinct score as threshold.
 
-    Rows are counted for each distinct score before they meet in the ranking, so a task ranks scores, not rows; round scores first
-    where they are continuous.
+    Rows are counted for each distinct score, and scores are ranked range by range, so that no task sees all of them.
     """
     b = list(by)
     at = scored.groupBy(*b, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy(*b).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    d = at.withColumn("tp", F.sum("pos").over(down)).withColumn("predicted", F.sum("n").over(down)).withColumn("positives", F.sum("pos").over(Window.partitionBy(*b)))
+    d = running_sums(at, score, ["pos", "n"], b, descending=True).withColumnsRenamed({"pos_upto": "tp", "n_upto": "predicted", "pos_all": "positives"})
     d = d.withColumn("precision", F.col("tp") / F.col("predicted")).withColumn("recall", F.coalesce(F.col("tp") / F.nullif(F.col("positives"), F.lit(0)), F.lit(0.0)))
     return d.withColumn("f1", F.coalesce(2 * F.col("tp") / F.nullif(F.col("predicted") + F.col("positives"), F.lit(0)), F.lit(0.0))).select(*b, score, "pos", "n", "tp", "predicted", "positives", "precision", "recall", "f1")
 
@@ -99,7 +99,7 @@ def binary_metrics(rows: DataFrame, by: Sequence[str] = (), label: str = "label"
     d = rows.groupBy(*by).agg(*aggs)
     over = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    d = d.select(*by, "n", over(tp, tp + fp).alias("precision"), over(tp, tp + fn).alias("recall"), over(2 * tp, 2 * tp + fp + fn).alias("f1"), ((F.col("n") - fp - fn) / F.col("n")).alias("accuracy"), *(["log_loss"] if probability else []))
+    d = d.select(*by, "n", over(tp, tp + fp).alias("precision"), over(tp, tp + fn).alias("recall"), over(2 * tp, 2 * tp + fp + fn).alias("f1"), ((F.col("n") - fp - fn) / F.nullif(F.col("n"), F.lit(0))).alias("accuracy"), *(["log_loss"] if probability else []))
     return d
 
 
@@ -163,27 +163,33 @@ def baseline_gate(metrics: DataFrame, floors: dict[str, float], least: dict[str,
 def split_groups(links: DataFrame, u: str, v: str) -> DataFrame:
     """Connected components over links: (node, component), the smallest node's value. Labels spread by joins, a written table a
     round cuts the lineage."""
-    spark = links.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        where = spark.sparkContext.getCheckpointDir()
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{where}/groups-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     e = links.select(F.col(u).cast("string").alias("a"), F.col(v).cast("string").alias("b")).where("a is not null and b is not null")
-    e = kept(e.union(e.select("b", "a")).distinct())
-    labels = kept(e.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
+    e = written(e.union(e.select("b", "a")).distinct())
+    labels = written(e.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
     while True:
         near = e.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
-        step = kept(step.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("component")))
-        labels = step.select("node", "component")
+        step = written(step.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("component")))
+        delete(labels)
+        labels, path = step.select("node", "component"), step._written_path
+        labels._written_path = path
         if step.where("old <> component").isEmpty():
+            delete(e)
             return labels
+
+
+def one_vs_rest_precision(scored: DataFrame, classes: Sequence[str], label: str = "label", probabilities: str = "probabilities") -> DataFrame:
+    """Average precision of each class against the rest, and their mean weighted by support. probabilities: map of class to probability;
+    a class that a row's map lacks counts as 0."""
+    p = F.explode(F.create_map(*(x for c in classes for x in (F.lit(c), F.coalesce(F.element_at(probabilities, F.lit(c)), F.lit(0.0)))))).alias("class", "score")
+    d = scored.select(F.col(label).cast("string").alias("truth"), p).select("class", F.round("score", 12).alias("score"), (F.col("truth") == F.col("class")).cast("int").alias("label"))
+    ap = average_precision(d, ["class"]).join(d.groupBy("class").agg(F.sum("label").alias("support")), "class")
+    mean = ap.agg(F.lit("weighted").alias("class"), (F.sum(F.col("average_precision") * F.col("support")) / F.sum("support")).alias("average_precision"), F.sum("support").alias("support"))
+    return ap.unionByName(mean)
+
+
+def vote_gate(votes: DataFrame, truth: DataFrame, table: Sequence[str] = ("table_name",), floor: float = 0.92) -> DataFrame:
+    """Accuracy of votes over the tables of known form, and whether it reaches the floor. A table without a vote counts as wrong."""
+    d = truth.join(votes.select(*table, "prediction"), list(table), "left")
+    return d.agg(F.count("*").alias("tables"), F.avg(F.coalesce(F.col("prediction") == F.col("truth"), F.lit(False)).cast("double")).alias("accuracy")).withColumn("passed", F.col("accuracy") >= floor)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tablewright.operators.evaluation import binary_metrics
+from tablewright.operators.ranked import running_sums
 
 
 def md5_percent(columns: Sequence[str]) -> Column:
@@ -29,24 +33,28 @@ def stratified_sample(df: DataFrame, target: str, limit: int, identity: Sequence
     return d.where("_rank <= _quota").drop("_n", "_quota", "_rank")
 
 
+def _both(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
+    """Of each value how often the reference (r) and the current sample (c) have it, with running sums."""
+    one = lambda d, k: d.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias(k))
+    d = one(reference, "r").withColumn("c", F.lit(0)).unionByName(one(current, "c").withColumn("r", F.lit(0)))
+    return running_sums(d.groupBy(value).agg(F.sum("r").alias("r"), F.sum("c").alias("c")), value, ["r", "c"])
+
+
 def ks_distance(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
     """Kolmogorov-Smirnov distance of two samples of a number: the largest gap of their distribution functions. Values are counted
     before they are ranked."""
-    each = lambda d, r: d.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).select(value, F.when(F.lit(r), F.col("n")).otherwise(0).alias("r"), F.when(F.lit(not r), F.col("n")).otherwise(0).alias("c"))
-    d = each(reference, True).unionByName(each(current, False)).groupBy(value).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    up, every = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    share = lambda k: F.sum(k).over(up) / F.sum(k).over(every)
-    return d.select(F.abs(share("r") - share("c")).alias("gap")).agg(F.max("gap").alias("ks"))
+    gap = F.abs(F.col("r_upto") / F.col("r_all") - F.col("c_upto") / F.col("c_all"))
+    return _both(reference, current, value).agg(F.max(gap).alias("ks"))
 
 
 def wasserstein(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
-    """Area between the two distribution functions."""
-    each = lambda d, r, c: d.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).select(value, (F.col("n") * r).alias("r"), (F.col("n") * c).alias("c"))
-    d = each(reference, 1, 0).unionByName(each(current, 0, 1)).groupBy(value).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    order = Window.orderBy(value)
-    up, every = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = F.abs(F.sum("r").over(up) / F.sum("r").over(every) - F.sum("c").over(up) / F.sum("c").over(every))
-    return d.select((gap * (F.lead(value).over(order) - F.col(value))).alias("area")).agg(F.sum("area").alias("wasserstein"))
+    """Area between the two distribution functions. The last value of a range is followed by the first of the next that has any."""
+    d = _both(reference, current, value)
+    starts = d.groupBy("range").agg(F.min(value).alias("low"))
+    after = starts.select("range", F.lead("low").over(Window.orderBy("range")).alias("next_low"))  # a row for each range
+    next_value = F.coalesce(F.lead(value).over(Window.partitionBy("range").orderBy(value)), F.col("next_low"))
+    gap = F.abs(F.col("r_upto") / F.col("r_all") - F.col("c_upto") / F.col("c_all"))
+    return d.join(after, "range").select((gap * (next_value - F.col(value))).alias("area")).agg(F.sum("area").alias("wasserstein"))
 
 
 def category_shares(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
@@ -147,3 +155,58 @@ def held(conditions: DataFrame, at: str, condition: Column, steps: int, by: Sequ
     d = d.withColumn("_island", F.row_number().over(w) - F.sum(F.col("_c").cast("int")).over(w))
     d = d.where("_c").withColumn("held", F.row_number().over(Window.partitionBy(*by, "_island").orderBy(at)))
     return d.where(F.col("held") >= steps).drop("_c", "_island")
+
+
+def infer_column_roles(reference: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
+    """column_name, role: booleans, and numbers of at most two values, are categorical; other numbers numerical; the rest skipped.
+    Nulls are no value; a column without any value is categorical. Two scans, a row each."""
+    kinds = {f.name: f.dataType for f in reference.schema if f.name not in skip}
+    numbers = [n for n, t in kinds.items() if isinstance(t, T.NumericType)]
+    c = lambda n: F.col(f"`{n}`")
+    ends = reference.agg(*(F.min(c(n)).alias(f"low_{i}") for i, n in enumerate(numbers)), *(F.max(c(n)).alias(f"high_{i}") for i, n in enumerate(numbers))) if numbers else None
+    first = ends.first() if numbers else None
+    # two values at most: nothing lies between the least and the greatest
+    between = [F.count_if((c(n) > F.lit(first[f"low_{i}"])) & (c(n) < F.lit(first[f"high_{i}"]))).alias(f"between_{i}") for i, n in enumerate(numbers) if first[f"low_{i}"] is not None]
+    inner = reference.agg(*between).first().asDict() if between else {}
+    role = {n: "categorical" if inner.get(f"between_{i}", 0) == 0 else "numerical" for i, n in enumerate(numbers)}
+    rows = [(n, role.get(n, "categorical" if isinstance(t, T.BooleanType) else "skipped")) for n, t in kinds.items()]
+    return reference.sparkSession.createDataFrame(rows, "column_name string, role string")
+
+
+def backtest(labelled: DataFrame, score: Callable[[DataFrame], DataFrame], target: str, identity: Sequence[str], limit: int) -> DataFrame:
+    """Replay a stratified holdout through a scorer: quality over what it scored, how many failed, and whether all did.
+
+    score: adds prediction (0 or 1; null: failed) and probability (of that prediction). An empty holdout has failed.
+    """
+    d = score(stratified_sample(labelled, target, limit, identity))
+    counts = d.agg(F.count("*").alias("replayed"), F.count_if(F.col("prediction").isNull()).alias("failed"))
+    good = d.where("prediction is not null").withColumn("p1", positive_probability("prediction", "probability"))
+    quality = binary_metrics(good, (), target, "prediction", "p1")
+    return counts.join(quality, F.lit(True), "left").withColumn("all_failed", F.col("replayed") == F.col("failed"))  # two rows of aggregates
+
+
+def served_quality(served: DataFrame, runs: DataFrame) -> DataFrame:
+    """Of each served model version the metrics and the estimator of its latest run; null where it has none.
+    served: model, version; runs: model, version, run_at, estimator, metric, the later of equals by metric."""
+    latest = runs.groupBy("model", "version").agg(F.max_by(F.struct("estimator", "metric", "run_at"), F.struct("run_at", "metric")).alias("r"))
+    return served.join(latest, ["model", "version"], "left").select("model", "version", "r.estimator", "r.metric", "r.run_at")
+
+
+def gauge_alert(gauge: DataFrame, ts: str, value: str, above: float, size: str, steps: int, by: Sequence[str] = ()) -> DataFrame:
+    """Windows whose greatest value of the gauge has been above the limit for `steps` windows in a row."""
+    d = windows(gauge, ts, size).groupBy("window_start", *by).agg(F.max(value).alias("peak"))
+    return held(d, "window_start", F.col("peak") > above, steps, by)
+
+
+def target_down(gauge: DataFrame, ts: str, size: str, by: Sequence[str]) -> DataFrame:
+    """Windows, from the first to the last of all targets, in which a target reports nothing."""
+    seen = windows(gauge, ts, size).select("window_start", *by).distinct()
+    span = seen.agg(F.min("window_start").alias("a"), F.max("window_start").alias("b"))
+    every = span.select(F.explode(F.sequence("a", "b", F.expr(f"interval {size}"))).alias("window_start"))
+    return every.join(seen.select(*by).distinct(), F.lit(True)).join(seen, ["window_start", *by], "left_anti")  # windows x targets
+
+
+def error_rate(requests: DataFrame, ts: str, by: Sequence[str], error: Column, size: str, seconds: int, above: float) -> DataFrame:
+    """Windows in which a model and type has more errors a second than the limit."""
+    d = request_rate(requests.where(error), ts, by, size, seconds)
+    return d.where(F.col("per_second") > above)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.operators import combos
+from tablewright.operators import combos, fd_algebra
 
 
 def schema_check(df: DataFrame, required: Sequence[str], numeric: Sequence[str]) -> DataFrame:
@@ -19,6 +19,19 @@ def schema_check(df: DataFrame, required: Sequence[str], numeric: Sequence[str])
     return df.sparkSession.createDataFrame(rows, "problem string, column_name string")
 
 
+def label_against_discovered(manifest: DataFrame, discovered: DataFrame) -> DataFrame:
+    """Whether the dependencies that the data show, added to the declared ones, would change a relation's label.
+
+    manifest: rel_id, attributes, fds, violates_1nf; discovered: table_name, lhs (array), rhs. Returns rel_id, declared_form,
+    discovered_form, changes and reason (what the added ones say).
+    """
+    found = discovered.groupBy(F.col("table_name").alias("rel_id")).agg(F.collect_list(F.struct("lhs", F.array("rhs").alias("rhs"))).alias("more"))
+    union = manifest.join(found, "rel_id", "left").withColumn("fds", F.concat("fds", F.coalesce("more", F.expr("filter(fds, x -> false)")))).drop("more")
+    of = lambda m, k: fd_algebra.normal_forms(m).select("rel_id", F.col("normal_form").alias(k), F.col("reason").alias(f"{k}_reason"))
+    d = of(manifest, "declared_form").join(of(union, "discovered_form"), "rel_id")
+    return d.select("rel_id", "declared_form", "discovered_form", (F.col("declared_form") != F.col("discovered_form")).alias("changes"), F.col("discovered_form_reason").alias("reason"))
+
+
 def count_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows that break each rule (true: broken), in one pass: (rule, violations)."""
     one = df.agg(*(F.count_if(r).alias(n) for n, r in rules.items()))

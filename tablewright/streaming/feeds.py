@@ -10,16 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    import tempfile
-
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return spark.sparkContext.getCheckpointDir()
+from tablewright.sources.shared import shared_dir
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +18,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
     folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
     s = reader.parquet(f"{sf_dir}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -71,7 +62,7 @@ REPORT = "event_type string, report long, n long, first long, last long, mean_va
 
 def rolling_reports(stream: DataFrame, size: int = 60, every: int = 30) -> DataFrame:
     """For each event type a report over the latest `size` events, at `size` events and after each `every` more. State holds `size`
-    events and a counter; within a micro-batch events are taken in the order of time."""
+    events and a counter; within a micro-batch, which event_stream()'s files a batch bound, events are taken in the order of time."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, ids, values = state.get if state.exists else (0, [], [])
@@ -85,3 +76,28 @@ def rolling_reports(stream: DataFrame, size: int = 60, every: int = 30) -> DataF
 
     s = stream.select("event_type", "ts", "event_id", "value")
     return s.groupBy("event_type").applyInPandasWithState(update, REPORT, "seen long, ids array<long>, values array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+CLASS_REPORT = "track string, report long, first long, last long, tp long, fp long, fn long, tn long"
+
+
+def classification_reports(stream: DataFrame, size: int = 60, every: int = 30) -> DataFrame:
+    """Confusion counts of each track over its latest `size` labelled events, due at `size` events and after each `every` more.
+
+    stream: track, ts, event_id, target, prediction (0 or 1); events that lack one of the two are passed over. A report that is due
+    while the window's targets are of one class waits for the next event, and the count to the following report starts when it is made.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        wait, made, ids, pairs = state.get if state.exists else (size, 0, [], [])
+        ids, pairs, out = list(ids), list(pairs), []
+        for event, target, said in pd.concat(list(batches)).sort_values(["ts", "event_id"])[["event_id", "target", "prediction"]].itertuples(index=False):
+            ids, pairs, wait = [*ids, int(event)][-size:], [*pairs, int(2 * target + said)][-size:], wait - 1
+            if wait <= 0 and len({p // 2 for p in pairs}) == 2:
+                out.append((key[0], made, min(ids), max(ids), pairs.count(3), pairs.count(1), pairs.count(2), pairs.count(0)))
+                wait, made = every, made + 1
+        state.update((wait, made, ids, pairs))
+        yield pd.DataFrame(out, columns=["track", "report", "first", "last", "tp", "fp", "fn", "tn"])
+
+    s = stream.where("target is not null and prediction is not null").select("track", "ts", "event_id", "target", "prediction")
+    return s.groupBy("track").applyInPandasWithState(update, CLASS_REPORT, "wait long, made long, ids array<long>, pairs array<long>", "append", GroupStateTimeout.NoTimeout)
