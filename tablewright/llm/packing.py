@@ -34,7 +34,7 @@ GAP = 1e-5
 #: Share by which demands are moved, against ties among the program's solutions.
 SHIFT = 1e-3
 #: Documents of a class that are ranked together, on average.
-GROUP_ROWS = 2000
+GROUP_ROWS = 100
 #: Sequences of patterns are at least so full together, in real tokens, and those of one pattern at least FLOOR; first fit makes none
 #: below FULLNESS. What would be in emptier ones is laid end to end instead.
 FULLNESS, FLOOR = 0.985, 0.9
