@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows, and bytes of text about, that a Python function gets at once, so that a worker's memory stays bounded.
-BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 #: Word separators of the contracts: space and the ASCII controls 9 to 13.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"

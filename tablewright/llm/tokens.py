@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import map_rows, word_bounds, word_hashes
 
 #: Distinct chunks that a worker remembers; when it has so many, those not met again until it has so many anew are forgotten.
-CACHE = 450_000
+CACHE = 250_000
 END, MARK = "</w>", b"\xff"
 
 
