@@ -37,7 +37,7 @@ SHIFT = 1e-3
 GROUP_ROWS = 100
 #: Sequences of patterns are at least so full together, in real tokens, and those of one pattern at least FLOOR; first fit makes none
 #: below FULLNESS. What would be in emptier ones is laid end to end instead.
-FULLNESS, FLOOR = 0.985, 0.9
+FULLNESS, FLOOR = 0.992, 0.9
 
 
 def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -4,6 +4,7 @@ import os
 import pytest
 
 import corpus_pipeline
+from tests.llm.helpers import corpus, frame
 from tests.llm.test_exact_near import brute_components, expected_exact
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,27 @@ def test_stages(spark):
 
 def test_signatures():
     assert [len(inspect.signature(f).parameters) for _, f in corpus_pipeline.STAGES] == [3] * 5
+
+
+@pytest.mark.parametrize("rows", [[], corpus(2)], ids=["empty", "odd"])
+def test_stages_take_odd_rows(spark, rows):
+    """Nulls, empty and blank texts, repeated rows, a row without id, columns with clashing names, and tables without rows."""
+    docs = frame(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        kept = got.collect()
+        assert bool(kept) == bool(rows), name
+        assert {(r.doc_id, r.text) for r in kept} <= {(i, t) for i, t, *_ in rows}, name
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert got.count() >= len(rows) and bool(got.count()) == bool(rows)
+
+
+def test_classifier_without_documents(spark):
+    """No labelled text: every text scores 0.5, and a threshold below keeps all."""
+    from tablewright.llm import classifier
+
+    none, some = frame(spark, []), frame(spark, corpus(2))
+    model = classifier.train(none, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert classifier.score(none, model).count() == classifier.accepted(none, model, 0.3).count() == 0
+    assert {r.score for r in classifier.score(some, model).collect()} == {0.5} and classifier.accepted(some, model, 0.3).count() == some.count()
