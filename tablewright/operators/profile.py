@@ -101,10 +101,11 @@ def profile_columns(columns: DataFrame, tables: dict[str, DataFrame]) -> DataFra
 
 
 def min_max(tables: dict[str, DataFrame]) -> DataFrame:
-    """Each column's smallest and largest value as text: carried along, never a feature."""
+    """Each column's smallest and largest value as text: carried along, never a feature. Negative zero counts as zero."""
 
     def one(table: str, df: DataFrame) -> DataFrame:
-        cells = df.agg(*(f(F.col(f"`{c}`")).cast("string").alias(f"{n}_{i}") for i, c in enumerate(df.columns) for n, f in (("min", F.min), ("max", F.max))))
+        value = {c: F.col(f"`{c}`") + F.lit(0.0) if k in ("double", "float") else F.col(f"`{c}`") for c, k in df.dtypes}
+        cells = df.agg(*(f(value[c]).cast("string").alias(f"{n}_{i}") for i, c in enumerate(df.columns) for n, f in (("min", F.min), ("max", F.max))))
         rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"min_{i}").alias("min_value"), F.col(f"max_{i}").alias("max_value")) for i, c in enumerate(df.columns)))
         return cells.select(F.lit(table).alias("table_name"), F.inline(rows))
 

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, CountVectorizer, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.evaluation import ClusteringEvaluator, Evaluator, MulticlassClassificationEvaluator
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators.evaluation import binary_metrics, class_weights, split_groups
+from tablewright.operators.evaluation import average_precision, binary_metrics, class_weights, split_groups
+from tablewright.sources.shared import delete, written
 
 
 def feature_matrix(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -39,13 +43,26 @@ def out_of_fold(df: DataFrame, estimator, fold: str) -> DataFrame:
     return out
 
 
-def random_search(df: DataFrame, estimator, grid: dict, fold: str, draws: int, seed: int = 7, parallelism: int = 2):
-    """A cross-validation over randomly drawn settings on given folds; scored by the area under the precision-recall curve.
-    grid: parameter name to its choices."""
-    rng = random.Random(seed)
-    maps = [{estimator.getParam(p): rng.choice(v) for p, v in sorted(grid.items())} for _ in range(draws)]
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(metricName="areaUnderPR"), foldCol=fold, numFolds=df.select(fold).distinct().count(), parallelism=parallelism)
-    return cv.fit(df)
+class StepPrecision(Evaluator):
+    """Average precision as the step sum, of the probability of class 1."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        p = F.round(F.get(vector_to_array("probability"), F.lit(1)), 12).alias("score")
+        return float(average_precision(dataset.select("label", p)).first()[0] or 0.0)
+
+    def isLargerBetter(self) -> bool:  # noqa: N802
+        return True
+
+
+def random_search(df: DataFrame, estimator, grid: dict, fold: str, draws: int = 30, seed: int = 7, parallelism: int = 4):
+    """A cross-validation over `draws` distinct settings, drawn at random from a grid, on given folds, scored by average precision.
+    grid: parameter name to its choices. Returns the fitted search and the settings; a grid of fewer settings is tried whole."""
+    names = sorted(grid)
+    every = list(product(*(grid[n] for n in names)))
+    drawn = [dict(zip(names, v, strict=True)) for v in random.Random(seed).sample(every, min(draws, len(every)))]
+    maps = [{estimator.getParam(n): v for n, v in d.items()} for d in drawn]
+    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=StepPrecision(), foldCol=fold, numFolds=df.select(fold).distinct().count(), parallelism=parallelism)
+    return cv.fit(df), drawn
 
 
 def scored(model: PipelineModel, df: DataFrame, classes: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -78,36 +95,86 @@ def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
     return Normalizer(inputCol="_v", outputCol="unit").transform(df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))).drop("_v")
 
 
-def dense_clusters(df: DataFrame, key: str, distance: float, least_neighbours: int = 3, least_size: int = 4) -> DataFrame:
-    """Clusters of unit vectors: points with enough neighbours within a distance are cores, cores near each other are one cluster, other
-    points join a core they are near; the rest and small clusters are outliers (-1). Neighbours come from random projections."""
-    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=2.0, numHashTables=4, seed=7).fit(df)
-    d = lsh.transform(df)
-    near = lsh.approxSimilarityJoin(d, d, distance, "distance").select(F.col(f"datasetA.{key}").alias("a"), F.col(f"datasetB.{key}").alias("b")).where("a <> b")
-    near = near.persist()
-    cores = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least_neighbours).select("a")
-    links = near.join(cores, "a").join(cores.withColumnRenamed("a", "b"), "b")
-    groups = split_groups(links, "a", "b")
-    rim = near.join(cores, "a", "left_anti").join(groups.select(F.col("node").cast("long").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("component"))
-    all_ = groups.select(F.col("node").cast("long").alias("a"), "component").unionByName(rim)
-    sizes = all_.groupBy("component").count().where(F.col("count") >= least_size).select("component")
-    named = all_.join(sizes, "component").withColumn("cluster", F.col("component").cast("long")).select(F.col("a").alias(key), "cluster")
+#: Rows that one task compares with as many others.
+BLOCK = 1000
+
+
+def _blocks(df: DataFrame, key: str, distance: float, dims: int, block: int) -> DataFrame:
+    """Rows in the groups in which they are compared: key, v, core, home, own (chunk), cell, i, j; each pair within the distance meets in
+    one group. Cells are cubes of the distance's width over principal components, which never lengthen a distance, so near points lie in
+    the same cell or in two that touch: a row is at home in its cell and a guest in half of the cells around it. Cells of many rows are cut
+    into chunks, each of which meets each."""
+    width = distance * (1 + 1e-9)
+    half = [o for o in product((-1, 0, 1), repeat=dims) if o > (0,) * dims]
+    d = PCA(k=dims, inputCol="unit", outputCol="_p").fit(df).transform(df).withColumn("_p", F.transform(vector_to_array("_p"), lambda x: F.floor(x / width)))
+    places = F.array(*(F.struct(F.array(*(F.get("_p", F.lit(k)) + o[k] for k in range(dims))).alias("cell"), F.lit(not any(o)).alias("home")) for o in [(0,) * dims, *half]))
+    d = d.select(F.col(key).alias("key"), vector_to_array("unit").alias("v"), "core", F.explode(places).alias("m")).select("key", "v", "core", "m.*")
+    counts = d.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("chunks"), F.bool_or("home").alias("used")).where("used").drop("used")
+    d = d.join(counts, "cell").withColumn("own", F.pmod(F.xxhash64("key"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return d.select("key", "v", "core", "home", "own", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _near(rows: pd.DataFrame, distance: float) -> np.ndarray:
+    """Which rows of a group are within the distance of which, each pair that is this group's to compare."""
+    v, home, own = np.stack(rows["v"].to_numpy()), rows["home"].to_numpy(), rows["own"].to_numpy()
+    squares = (v * v).sum(1)
+    near = squares[:, None] + squares - 2 * (v @ v.T) <= distance * distance
+    near &= home[:, None] | home
+    if rows["i"].iat[0] != rows["j"].iat[0]:
+        near &= own[:, None] != own
+    np.fill_diagonal(near, False)
+    return near
+
+
+def dense_clusters(df: DataFrame, key: str, distance: float, least_neighbours: int = 3, least_size: int = 4, dims: int = 3, block: int = BLOCK) -> DataFrame:
+    """Clusters of the vectors `unit`: points with enough neighbours within a distance are cores, cores near each other are one cluster,
+    named by its smallest core's key; other points join the smallest cluster that has a core near them; the rest and clusters of fewer
+    than least_size points are outliers (-1). Exact, whatever the vectors; fast where the distance is small against their spread.
+
+    key: distinct long values; unit: no nulls, `dims` components or more. A group of close points gives counts and one link a point, never
+    its pairs; but all of them are compared, `block` with `block` rows at a time. An empty table gives none.
+    """
+    if df.isEmpty():
+        return df.withColumn("cluster", F.lit(-1).cast("long"))
+
+    def neighbours(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": rows["key"], "n": _near(rows, distance).sum(1)})
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        near, keys, core = _near(rows, distance), rows["key"].to_numpy(), rows["core"].to_numpy()
+        near &= core  # columns: cores alone
+        label, last, far = np.arange(len(keys)), None, len(keys)
+        while last is None or (label != last).any():
+            last = label
+            label = np.where(core, np.minimum(last, np.where(near, last, far).min(1)), last)
+        pairs = [(int(k), int(keys[r]), True) for k, r in zip(keys[core], label[core], strict=True)]
+        pairs += [(int(keys[k]), int(keys[r]), False) for k in np.flatnonzero(~core) for r in np.unique(label[near[k]])]
+        return pd.DataFrame(pairs, columns=["key", "root", "core"])
+
+    met = _blocks(df.withColumn("core", F.lit(False)), key, distance, dims, block).groupBy("cell", "i", "j")
+    counted = met.applyInPandas(neighbours, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    cores = written(counted.select(F.col("key").alias(key), (F.col("n") >= least_neighbours).alias("core")))
+    met = _blocks(df.join(cores, key), key, distance, dims, block).groupBy("cell", "i", "j")
+    found = written(met.applyInPandas(links, "key long, root long, core boolean").distinct())
+    groups = split_groups(found.where("core"), "key", "root")
+    names = groups.groupBy("component").agg(F.min(F.col("node").cast("long")).alias("cluster"))
+    inside = groups.join(names, "component").select(F.col("node").cast("long").alias("key"), "cluster")
+    rim = found.where("not core").join(inside.withColumnRenamed("key", "root"), "root").groupBy("key").agg(F.min("cluster").alias("cluster"))
+    all_ = inside.unionByName(rim)
+    sizes = all_.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least_size).select("cluster")
+    named = written(all_.join(sizes, "cluster").select(F.col("key").alias(key), "cluster"))
+    for old in (cores, found, groups):
+        delete(old)
     return df.join(named, key, "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long")))
 
 
 def cluster_quality(df: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """Silhouette of the assigned points, and the share of points that are assigned."""
-    inside = df.where(F.col(cluster) >= 0).withColumn("prediction", F.dense_rank().over(_by(cluster)) - 1)
+    """Silhouette (by cosine) of the assigned points, null under two clusters; the share of points that are assigned; clusters."""
+    inside = df.where(F.col(cluster) >= 0).withColumn("prediction", F.col(cluster).cast("double"))
     two = inside.select(cluster).distinct().count() >= 2
     silhouette = ClusteringEvaluator(featuresCol="unit", predictionCol="prediction", distanceMeasure="cosine").evaluate(inside) if two else None
     return df.agg(F.avg((F.col(cluster) >= 0).cast("double")).alias("coverage"), F.count_distinct(F.when(F.col(cluster) >= 0, F.col(cluster))).alias("clusters")).withColumn("silhouette", F.lit(silhouette).cast("double"))
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
 def fold_metrics(predictions: DataFrame, fold: str) -> DataFrame:
     return binary_metrics(predictions.withColumn("prediction", F.col("prediction").cast("int")), [fold])

@@ -11,13 +11,13 @@ from tablewright.streaming import feeds
 FEATURES = ["n_chars", "n_words", "n_symbols", "n_capitals", "mean_length"]
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _labelled(spark: SparkSession, sf_dir: str, folds: int = 3) -> DataFrame:
     """Documents with a quality label, simple features and folds by source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n = F.greatest(F.size(F.split("text", r"\s+")), F.lit(1))
     d = docs.select("doc_id", "source", "lang", F.length("text").alias("n_chars"), n.alias("n_words"), (F.regexp_count("text", F.lit("[#*$%&|<>]")) / n).alias("n_symbols"), (F.regexp_count("text", F.lit("[A-Z]")) / n).alias("n_capitals"), (F.length("text") / n).alias("mean_length"))
     d = d.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), "doc_id")
-    return evaluation.grouped_stratified_folds(d, "source", "quality", 3)
+    return evaluation.grouped_stratified_folds(d, "source", "quality", folds)
 
 
 def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +31,14 @@ def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = training.feature_matrix(_labelled(spark, sf_dir), FEATURES, "quality", ["fold"]).persist()
-    found = training.random_search(m, training.candidates()["forest"], {"maxDepth": [2, 4, 6], "numTrees": [10, 20]}, "fold", draws=3)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(found.avgMetrics)], "draw int, area_under_pr double")
+    """30 settings of a forest by mean average precision over five folds, the chosen one marked."""
+    m = training.feature_matrix(_labelled(spark, sf_dir, 5), FEATURES, "quality", ["fold"]).persist()
+    grid = {"maxDepth": [2, 3, 4, 5, 6], "numTrees": [5, 10, 20], "minInstancesPerNode": [1, 4, 16]}
+    found, drawn = training.random_search(m, training.candidates()["forest"], grid, "fold")
+    best = max(range(len(drawn)), key=lambda i: found.avgMetrics[i])
+    rows = [(i, *(d[k] for k in sorted(grid)), round(float(v), 9), i == best) for i, (d, v) in enumerate(zip(drawn, found.avgMetrics, strict=True))]
+    m.unpersist()
+    return spark.createDataFrame(rows, "draw int, max_depth int, min_instances int, trees int, average_precision double, chosen boolean")
 
 
 def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,14 +53,37 @@ def signature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings lie in all directions, so this distance is a large one and most cells touch."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return training.dense_clusters(training.unit_vectors(e, "embedding"), "vec_id", 0.7).select("vec_id", "label", "cluster")
+    return training.dense_clusters(training.unit_vectors(e, "embedding"), "vec_id", 1.15).select("vec_id", "label", "cluster")
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a letter, as unit vectors of how often each of a to z is in them."""
+    t = F.lower("text")
+    counts = F.array(*((F.length(t) - F.length(F.replace(t, F.lit(chr(c)), F.lit("")))).cast("double") for c in range(97, 123)))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", counts.alias("letters"))
+    return training.unit_vectors(d.where(F.exists("letters", lambda x: x > 0)), "letters").select("doc_id", "unit")
+
+
+def letter_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of documents of nearly the same letters."""
+    return training.dense_clusters(_letters(spark, sf_dir), "doc_id", 0.05).select("doc_id", "cluster")
+
+
+def _quality(df: DataFrame) -> DataFrame:
+    return training.cluster_quality(df).select(F.round("coverage", 9).alias("coverage"), "clusters", F.round("silhouette", 6).alias("silhouette"))
+
+
+def letter_cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silhouette and coverage of the clusters that were found."""
+    return _quality(training.dense_clusters(_letters(spark, sf_dir), "doc_id", 0.05))
 
 
 def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silhouette of the labels that come with the embeddings."""
     e = training.unit_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding")
-    return training.cluster_quality(e.withColumn("cluster", F.col("label").cast("long")))
+    return _quality(e.withColumn("cluster", F.col("label").cast("long")))
 
 
 def streamed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +95,32 @@ def streamed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.run_available(feeds.rolling_reports(feeds.event_stream(spark, sf_dir))).withColumn("mean_value", F.round("mean_value", 6))
 
 
-QUERIES = {f.__name__: f for f in (out_of_fold_scores, random_search, class_scores, signature_report, embedding_clusters, cluster_quality, streamed_rate, streamed_reports)}
+QUERIES = {f.__name__: f for f in (out_of_fold_scores, random_search, class_scores, signature_report, embedding_clusters, letter_clusters, letter_cluster_quality, cluster_quality, streamed_rate, streamed_reports)}
+
+_UNIT = "u AS (SELECT * REPLACE (list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v) FROM w WHERE list_inner_product(v, v) > 0)"
+_EMBEDDINGS = f"w AS (SELECT vec_id AS k, label, embedding::DOUBLE[] AS v FROM embeddings), {_UNIT}"
+_LETTERS = f"w AS (SELECT doc_id AS k, list_transform(range(97, 123), lambda c: (length(text) - length(replace(lower(text), chr(c::INT), '')))::DOUBLE) AS v FROM documents WHERE text IS NOT NULL), {_UNIT}"
+
+
+def _clusters(distance: float) -> str:
+    """CTEs up to `c` (k, cluster), from u (k, v)."""
+    return f"""near AS (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.k <> b.k AND list_distance(a.v, b.v) <= {distance}), core AS (SELECT a AS k FROM near GROUP BY 1 HAVING count(*) >= 3),
+        l AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)), r AS (SELECT k AS a, k AS b FROM core UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        g AS (SELECT a AS k, min(b) AS cluster FROM r GROUP BY 1), rim AS (SELECT a AS k, min(cluster) AS cluster FROM near JOIN g ON near.b = g.k WHERE a NOT IN (FROM core) GROUP BY 1),
+        al AS (FROM g UNION ALL FROM rim), c AS (SELECT u.* EXCLUDE (v), v, coalesce(s.cluster, -1) AS cluster FROM u LEFT JOIN (SELECT * FROM al WHERE cluster IN (SELECT cluster FROM al GROUP BY 1 HAVING count(*) >= 4)) s USING (k))"""
+
+
+_SILHOUETTE = """x AS (SELECT k, cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM c WHERE cluster >= 0), n AS (SELECT cluster, count(*) AS n FROM c WHERE cluster >= 0 GROUP BY 1),
+        m AS (SELECT cluster, i, avg(x) AS m FROM x GROUP BY 1, 2), far AS (SELECT x.k, x.cluster AS own, m.cluster AS c, 1 - sum(x * m) AS d FROM x JOIN m USING (i) GROUP BY 1, 2, 3),
+        p AS (SELECT k, max(n) AS n, max(CASE WHEN c = own THEN d * n / nullif(n - 1, 0) END) AS a, min(CASE WHEN c <> own THEN d END) AS b FROM far JOIN n ON n.cluster = own GROUP BY 1),
+        s AS (SELECT avg(CASE WHEN n = 1 OR a = b THEN 0 ELSE (b - a) / greatest(a, b) END) AS s FROM p)
+        SELECT round(avg((cluster >= 0)::INT), 9) AS coverage, count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END) AS clusters, round((SELECT s FROM s), 6) AS silhouette FROM c"""
 
 ORACLE_SQL = {
+    "embedding_clusters": f"WITH RECURSIVE {_EMBEDDINGS}, {_clusters(1.15)} SELECT k AS vec_id, label, cluster FROM c",
+    "letter_clusters": f"WITH RECURSIVE {_LETTERS}, {_clusters(0.05)} SELECT k AS doc_id, cluster FROM c",
+    "letter_cluster_quality": f"WITH RECURSIVE {_LETTERS}, {_clusters(0.05)}, {_SILHOUETTE}",
+    "cluster_quality": f"WITH {_EMBEDDINGS}, c AS (SELECT *, label AS cluster FROM u), {_SILHOUETTE}",
     "streamed_rate": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "streamed_reports": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY event_type) AS total FROM events),
         r AS (SELECT n.*, k AS report FROM n, range(100000) AS t(k) WHERE k * 30 < n AND n <= k * 30 + 60 AND k * 30 + 60 <= total AND k <= n / 30) SELECT event_type, report, count(*) AS n, min(event_id) AS first, max(event_id) AS last, round(avg(value), 6) AS mean_value FROM r GROUP BY 1, 2""",

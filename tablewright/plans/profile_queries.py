@@ -45,9 +45,8 @@ def profile_columns_star(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def min_max_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smallest and largest values of the whole-number and text columns."""
-    tables = star(spark, sf_dir)
-    return profile.min_max({t: df.select([f.name for f in df.schema if not isinstance(f.dataType, (T.DoubleType, T.TimestampNTZType, T.TimestampType))]) for t, df in tables.items()})
+    """Smallest and largest values of all columns."""
+    return profile.min_max(star(spark, sf_dir))
 
 
 def feature_contract_pk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +150,12 @@ def _cross(source: str, scope_columns: str, out: str) -> str:
 _COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"))
 _SCOPED = "SELECT {db} AS database, schema, table_name, column_name, is_unique FROM stats"
 
+
+def _plain(column: str) -> str:
+    """A money or rate column without negative zeros; other columns as they are."""
+    return f"{column} + 0.0" if column.endswith(("acctbal", "price", "quantity", "discount", "tax")) else column
+
+
 ORACLE_SQL = {
     "discover": columns_sql(),
     "discover_only": f"WITH c AS ({columns_sql()}), n AS ({_COUNTS}) SELECT c.* FROM c JOIN n USING (table_name) WHERE n > 1000",
@@ -158,10 +163,10 @@ ORACLE_SQL = {
     "column_stats": f"WITH {stats_sql()} SELECT * FROM stats",
     "profile_columns_star": f"WITH {features_sql()} SELECT *, {ONE_HOT} FROM profile",
     "min_max_text": " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(min({p}{c}) AS VARCHAR) AS min_value, CAST(max({p}{c}) AS VARCHAR) AS max_value FROM {t}"
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(min({_plain(p + c)}) AS VARCHAR) AS min_value, CAST(max({_plain(p + c)}) AS VARCHAR) AS max_value FROM {t}"
         for t, p, cs in (
-            ("region", "r_", "regionkey name"), ("nation", "n_", "nationkey name regionkey"), ("customer", "c_", "custkey name nationkey mktsegment"), ("supplier", "s_", "suppkey name nationkey"),
-            ("part", "p_", "partkey name brand type size"), ("orders", "o_", "orderkey custkey orderstatus orderpriority"), ("lineitem", "l_", "orderkey partkey suppkey linenumber returnflag linestatus"),
+            ("region", "r_", "regionkey name"), ("nation", "n_", "nationkey name regionkey"), ("customer", "c_", "custkey name nationkey acctbal mktsegment"), ("supplier", "s_", "suppkey name nationkey acctbal"),
+            ("part", "p_", "partkey name brand type size retailprice"), ("orders", "o_", "orderkey custkey orderstatus totalprice orderdate orderpriority"), ("lineitem", "l_", "orderkey partkey suppkey linenumber quantity extendedprice discount tax returnflag linestatus shipdate"),
         )
         for c in cs.split()
     ),

@@ -31,9 +31,9 @@ def tfidf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character n-grams of nation names, counted."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return n.select(F.explode(text.char_ngrams(F.col("n_name"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    """Character n-grams of part names, counted."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select(F.explode(text.char_ngrams(F.col("p_name"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def ctfidf_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,7 @@ ORACLE_SQL = {
     "table_documents": f"WITH c AS ({columns_sql()}), g AS (SELECT database, schema, table_name, string_agg(column_name, ', ' ORDER BY ordinal_position) AS columns FROM c GROUP BY ALL) SELECT *, replace(table_name, '_', ' ') || ': ' || columns AS description FROM g",
     "tfidf_parts": f"WITH {_tfidf('part', 'p_partkey', chr(112) + '_name || chr(32) || p_type')} SELECT k AS p_partkey, term, weight FROM z",
     "tfidf_documents": f"WITH {_tfidf('documents', 'doc_id', 'text')} SELECT k AS doc_id, max(weight) AS weight, count(*) AS terms FROM z GROUP BY 1",
-    "char_ngrams": """WITH w AS (SELECT ' ' || unnest(string_split_regex(lower(n_name), '\\s+')) || ' ' AS p FROM nation), n AS (SELECT p, unnest([3, 4, 5]) AS n FROM w WHERE length(p) > 2),
+    "char_ngrams": """WITH w AS (SELECT ' ' || unnest(string_split_regex(lower(p_name), '\\s+')) || ' ' AS p FROM part), n AS (SELECT p, unnest([3, 4, 5]) AS n FROM w WHERE length(p) > 2),
         g AS (SELECT CASE WHEN length(p) <= n THEN p ELSE substr(p, i::INT, n) END AS gram FROM n, range(1, 200) AS t(i) WHERE i <= greatest(length(p) - n + 1, 1)) SELECT gram, count(*) AS n FROM g GROUP BY 1""",
     "ctfidf_topics": f"WITH {_TOPICS} SELECT * FROM r WHERE rank <= 8",
     "topic_labels": "SELECT DISTINCT lang, CASE WHEN lang IN ('en', 'fr') THEN 'area ' || lang ELSE 'topic_' || lang END AS label FROM documents",
