@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import SPACES, Segment, crc32_of_id, distinct, map_rows, mix64, segments, shingles, ship, word_bounds
+from tablewright.llm.common import SPACES, Segment, crc32_of_id, distinct, map_rows, mix64, segments, shingles, ship, spans, word_bounds
 
 BITS = 18
 #: The bounded training sample: labelled rows that are learned from, about so many.
@@ -229,6 +229,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
 
     @F.pandas_udf("double")
     def scores(text: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(text.tolist()), dtype="float64")
+        texts = text.tolist()
+        return pd.Series([x for a, b in spans(texts) for x in model.scores(texts[a:b])], dtype="float64")
 
     return docs.where(scores(F.col("text").cast("binary")) >= threshold)

@@ -92,6 +92,19 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at += n
 
 
+def spans(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    """Start and end of parts of a list of texts, of the size that pieces() gives."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        more = len(t or b"")
+        if k > at and (k - at == BATCH_ROWS or size + more > BATCH_BYTES):
+            yield at, k
+            at, size = k, 0
+        size += more
+    if texts:
+        yield at, len(texts)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict]], schema: str) -> DataFrame:
     """mapInArrow with columns as Python lists. make() builds a task's function, once in each task; what that returns for a column is
     a list, a numpy array or an Arrow array."""
