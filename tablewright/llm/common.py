@@ -105,6 +105,25 @@ def spans(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+class Kept:
+    """What a worker keeps from task to task: the things of the operator that ran last, so that they don't pile up in one that
+    serves a job's operators in turn."""
+
+    things: dict = {}
+    used = False
+
+    @classmethod
+    def get(cls, key: tuple, build: Callable[[], object]):
+        cls.used = True
+        if key not in cls.things:
+            cls.things[key] = build()
+        return cls.things[key]
+
+    @classmethod
+    def forget(cls) -> None:
+        cls.things.clear()
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict]], schema: str) -> DataFrame:
     """mapInArrow with columns as Python lists. make() builds a task's function, once in each task; what that returns for a column is
     a list, a numpy array or an Arrow array."""
@@ -113,7 +132,10 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict]
     kinds = {part.split()[0]: KINDS[part.split()[1]] for part in schema.split(", ")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Kept.used = False
         fn = make()
+        if not Kept.used:
+            Kept.forget()
         for batch in batches:
             for part in pieces(batch):
                 got = fn({n: part.column(i).to_pylist() for i, n in enumerate(names)})

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import map_rows, word_bounds, word_hashes
+from tablewright.llm.common import Kept, map_rows, word_bounds, word_hashes
 
 #: Distinct chunks that a worker remembers; when it has so many, those not met again until it has so many anew are forgotten.
 CACHE = 250_000
@@ -59,8 +59,6 @@ def loaded_tokenizer(path: str):
 class ChunkTokens:
     """Tokens of texts from tokens of chunks. ids=True keeps little-endian 32-bit ids, else counts. whole: what proven() returns."""
 
-    loaded: dict = {}
-
     def __init__(self, path: str, whole: list[str], ids: bool = False):
         from tokenizers import normalizers
 
@@ -81,10 +79,8 @@ class ChunkTokens:
 
     @classmethod
     def get(cls, path: str, whole: list[str], ids: bool = False) -> ChunkTokens:
-        """One for each worker, file and kind."""
-        if (path, ids) not in cls.loaded:
-            cls.loaded[path, ids] = cls(path, whole, ids)
-        return cls.loaded[path, ids]
+        """One for each worker, file and kind, while its tasks are of this operator."""
+        return Kept.get(("tokens", path, ids), lambda: cls(path, whole, ids))
 
     def value(self, ids: list[int]):
         return struct.pack(f"<{len(ids)}I", *ids) if self.ids else len(ids)
