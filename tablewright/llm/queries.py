@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import classifier, exactdup, infill, langid, mixing, neardup, packing, quality_rules, secrets, substring, tokens
+from tablewright.llm import classifier, exactdup, infill, langid, mixing, neardup, packing, prefixtrie, quality_rules, secrets, substring, tokens
 from tablewright.llm.common import crc32_of_id, documents, labels
 
 VOCABULARY = "word_bpe_49k.json"
@@ -61,6 +61,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(prefixtrie.conversations(spark, sf_dir), group=5, heads=9)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(infill.fill_in_middle(documents(spark, sf_dir), seed=42, share=50, spm_share=80))
 
@@ -70,7 +74,7 @@ QUERIES = {
     for f in (
         op1_token_counts, op2_near_duplicates, op3_quality_rules, op4_source_mix, op5_language,
         op6_repeated_passages, op7_exact_duplicates, op8_packing, op9_secrets, op10_quality_classifier,
-        op13_fill_in_middle,
+        op12_prefix_trie, op13_fill_in_middle,
     )
 }
 
@@ -143,6 +147,19 @@ ORACLE_SQL: dict[str, str] = {
         WITH t AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256, {_LOWER} AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (t)""",
+    "op12_prefix_trie": """
+        WITH t AS (SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (SELECT c, own, c - c % 5 AS b, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+              lambda crc, x: list_reduce([xor(crc, x)] || range(8), lambda y, i: xor(y >> 1, 3988292384 * (y & 1))))) % 9 AS h FROM t),
+        r AS (SELECT h.c, coalesce(f.own[1:h.h], []) || h.own[h.h + 1:] AS s FROM h LEFT JOIN t f ON f.c = h.b),
+        p AS (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r),
+        n AS (SELECT s[1:d] AS s, d, min(c) AS c, count(*) AS n, string_agg(CASE WHEN len(s) = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends FROM p GROUP BY 1, 2),
+        k AS (SELECT s[1:d - 1] AS s, count(*) AS k FROM n WHERE d > 0 GROUP BY 1),
+        m AS (SELECT n.*, coalesce(k.k, 0) AS k, CASE WHEN n.d > 0 THEN (n.n - 1) * strlen(n.s[n.d].text) ELSE 0 END AS v FROM n LEFT JOIN k ON k.s = n.s),
+        u AS (SELECT s[1:a] AS s, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS leaves, sum(v) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM m) GROUP BY 1)
+        SELECT m.c AS conv_id, m.d AS depth, q.c AS parent_conv_id, m.n AS n_convs, m.k AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens,
+               sha256(coalesce(m.ends, '')) AS ends_sha256
+        FROM m JOIN u ON u.s = m.s LEFT JOIN m q ON q.s = m.s[1:m.d - 1] AND m.d > 0""",
     "op13_fill_in_middle": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
                    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
