@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import classifier, exactdup, infill, langid, mixing, neardup, packing, prefixtrie, quality_rules, secrets, substring, tokens
+from tablewright.llm import classifier, exactdup, infill, langid, mixing, neardup, packing, pagetext, prefixtrie, quality_rules, secrets, substring, tokens
 from tablewright.llm.common import crc32_of_id, documents, labels
 
 VOCABULARY = "word_bpe_49k.json"
@@ -61,6 +61,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.main_text(pagetext.pages(spark, sf_dir)).drop("n_repeated")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(prefixtrie.conversations(spark, sf_dir), group=5, heads=9)
 
@@ -74,7 +78,7 @@ QUERIES = {
     for f in (
         op1_token_counts, op2_near_duplicates, op3_quality_rules, op4_source_mix, op5_language,
         op6_repeated_passages, op7_exact_duplicates, op8_packing, op9_secrets, op10_quality_classifier,
-        op12_prefix_trie, op13_fill_in_middle,
+        op11_main_text, op12_prefix_trie, op13_fill_in_middle,
     )
 }
 
