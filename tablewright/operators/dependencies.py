@@ -45,7 +45,7 @@ def _parts(c: DataFrame, stats: DataFrame) -> DataFrame:
     """Combinations (table_name, cols) with the statistics of their columns gathered."""
     s = stats.select("table_name", F.col("column_name").alias("part"), "ordinal_position", "n_full", "is_key_eligible", "row_count", "total_rows")
     d = c.withColumn("part", F.explode("cols")).join(s, ["table_name", "part"])
-    near = F.col("n_full") / F.col("total_rows") >= NEAR_UNIQUE
+    near = F.coalesce(F.try_divide("n_full", "total_rows") >= NEAR_UNIQUE, F.lit(False))  # an empty table has no near-unique column
     return d.groupBy(*c.columns, "row_count", "total_rows").agg(
         F.min("is_key_eligible").alias("eligible"), F.max(near).alias("near_unique"), F.collect_list("n_full").alias("counts"), F.array_sort(F.collect_list("ordinal_position")).alias("positions")
     )
@@ -104,14 +104,14 @@ def _directed(stats: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def find_dependencies(stats: DataFrame, pairs: DataFrame) -> DataFrame:
     """lhs -> rhs where adding rhs splits no group; not for constant rhs, nor for lhs that is nearly unique."""
-    d = _directed(stats, pairs).where("n_pair = n_lhs and n_rhs > 1").where(F.col("n_lhs") / F.col("row_count") < NEAR_UNIQUE)
+    d = _directed(stats, pairs).where("n_pair = n_lhs and n_rhs > 1").where(F.try_divide("n_lhs", "row_count") < NEAR_UNIQUE)
     return d.select("table_name", "lhs", "rhs")
 
 
 def find_near_dependencies(stats: DataFrame, pairs: DataFrame) -> DataFrame:
     """Dependencies that hold but for a few rows: 0.95 <= strength < 1, with the same guards."""
-    d = _directed(stats, pairs).withColumn("strength", F.least(F.col("n_lhs") / F.col("n_pair"), F.lit(1.0)))
-    d = d.where((F.col("strength") >= NEAR_FD) & (F.col("strength") < 1) & (F.col("n_rhs") > 1) & (F.col("n_lhs") / F.col("row_count") < NEAR_UNIQUE))
+    d = _directed(stats, pairs).withColumn("strength", F.least(F.try_divide("n_lhs", "n_pair"), F.lit(1.0)))
+    d = d.where((F.col("strength") >= NEAR_FD) & (F.col("strength") < 1) & (F.col("n_rhs") > 1) & (F.try_divide("n_lhs", "row_count") < NEAR_UNIQUE))
     return d.select("table_name", "lhs", "rhs", "strength")
 
 

@@ -42,18 +42,18 @@ def _both(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
 
 def ks_distance(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
     """Kolmogorov-Smirnov distance of two samples of a number: the largest gap of their distribution functions. Values are counted
-    before they are ranked."""
-    gap = F.abs(F.col("r_upto") / F.col("r_all") - F.col("c_upto") / F.col("c_all"))
+    before they are ranked. Nulls are left out; null if either sample has no value."""
+    gap = F.abs(F.try_divide("r_upto", "r_all") - F.try_divide("c_upto", "c_all"))
     return _both(reference, current, value).agg(F.max(gap).alias("ks"))
 
 
 def wasserstein(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
-    """Area between the two distribution functions. The last value of a range is followed by the first of the next that has any."""
+    """Area between the two distribution functions; null if either sample has no value. The last value of a range is followed by the first of the next that has any."""
     d = _both(reference, current, value)
     starts = d.groupBy("range").agg(F.min(value).alias("low"))
     after = starts.select("range", F.lead("low").over(Window.orderBy("range")).alias("next_low"))  # a row for each range
     next_value = F.coalesce(F.lead(value).over(Window.partitionBy("range").orderBy(value)), F.col("next_low"))
-    gap = F.abs(F.col("r_upto") / F.col("r_all") - F.col("c_upto") / F.col("c_all"))
+    gap = F.abs(F.try_divide("r_upto", "r_all") - F.try_divide("c_upto", "c_all"))
     return d.join(after, "range").select((gap * (next_value - F.col(value))).alias("area")).agg(F.sum("area").alias("wasserstein"))
 
 
@@ -61,26 +61,26 @@ def category_shares(reference: DataFrame, current: DataFrame, value: str) -> Dat
     each = lambda d, k: d.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias(k))
     d = each(reference, "r").join(each(current, "c"), value, "full_outer").fillna(0, ["r", "c"])
     every = Window.partitionBy()
-    return d.select(value, "r", "c", (F.col("r") / F.sum("r").over(every)).alias("p"), (F.col("c") / F.sum("c").over(every)).alias("q"), F.sum("c").over(every).alias("n_current"))
+    return d.select(value, "r", "c", F.try_divide("r", F.sum("r").over(every)).alias("p"), F.try_divide("c", F.sum("c").over(every)).alias("q"), F.sum("c").over(every).alias("n_current"))
 
 
 def js_distance(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
-    """Jensen-Shannon distance (base 2) of two samples of a category."""
+    """Jensen-Shannon distance (base 2) of two samples of a category; null if either sample has no value."""
     m = (F.col("p") + F.col("q")) / 2
-    term = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / m)).otherwise(0.0)
-    return category_shares(reference, current, value).agg(F.sqrt(F.greatest(F.sum(term("p") + term("q")) / 2, F.lit(0.0))).alias("js"))
+    term = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / m)).when(m.isNotNull(), 0.0)
+    return category_shares(reference, current, value).agg(F.sqrt(F.greatest(F.sum(term("p") + term("q")) / 2, F.sum(m) * 0)).alias("js"))
 
 
 def chi_square(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
-    """Statistic and degrees of freedom of the current counts against the reference's shares."""
+    """Statistic and degrees of freedom of the current counts against the reference's shares; null if either sample has no value."""
     expected = F.col("p") * F.col("n_current")
     d = category_shares(reference, current, value).where("p > 0")
-    return d.agg(F.sum(F.pow(F.col("c") - expected, F.lit(2)) / expected).alias("chi_square"), (F.count("*") - 1).alias("degrees"))
+    return d.agg(F.sum(F.try_divide(F.pow(F.col("c") - expected, F.lit(2)), expected)).alias("chi_square"), F.nullif(F.count("*") - 1, F.lit(-1)).alias("degrees"))
 
 
 def drift_summary(distances: DataFrame, threshold: float) -> DataFrame:
-    """How many columns drift, and which share. distances: column, distance."""
-    return distances.agg(F.count_if(F.col("distance") >= threshold).alias("drifted_columns_count"), (F.count_if(F.col("distance") >= threshold) / F.count("*")).alias("drifted_columns_share"))
+    """How many columns drift, and which share of those that have a distance (null if none has). distances: column, distance (null: not measured)."""
+    return distances.agg(F.count_if(F.col("distance") >= threshold).alias("drifted_columns_count"), F.try_divide(F.count_if(F.col("distance") >= threshold), F.count("distance")).alias("drifted_columns_share"))
 
 
 def rolling_report(events: DataFrame, track: str, order: Sequence[str], size: int = 60, every: int = 30) -> DataFrame:

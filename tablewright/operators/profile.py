@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions import names
 from tablewright.sources.tables import REF
@@ -14,12 +15,49 @@ KEY_TYPES = ("boolean", "date", "decimal", "double", "integer", "varchar")
 NEAR_UNIQUE = 0.95
 
 
-def column_values(tables: dict[str, DataFrame]) -> DataFrame:
-    """A 64-bit hash of each value of each column, null for null: (table_name, ordinal_position, value)."""
+def _number(c: Column, kind: T.DataType) -> Column | None:
+    """A column of whole numbers or dates as a long."""
+    return c.cast("long") if isinstance(kind, T.IntegralType) else F.unix_date(c).cast("long") if isinstance(kind, T.DateType) else None
+
+
+def column_sketches(tables: dict[str, DataFrame]) -> DataFrame:
+    """The pre-pass, one scan a table: rows and non-null values of each column; of whole numbers also the ends and a mergeable sketch's
+    estimate of how many are distinct."""
+
+    def one(table: str, df: DataFrame) -> DataFrame:
+        aggs, cells = [F.count("*").alias("n")], []
+        for i, f in enumerate(df.schema.fields, 1):
+            c = F.col(f"`{f.name}`")
+            number, none = _number(c, f.dataType), F.lit(None).cast("long")
+            aggs.append(F.count(c).alias(f"v{i}"))
+            if number is not None:
+                aggs += [F.min(number).alias(f"a{i}"), F.max(number).alias(f"b{i}"), F.approx_count_distinct(number, 0.05).alias(f"d{i}")]
+            low, high, distinct = (F.col(f"{k}{i}") if number is not None else none for k in "abd")
+            cells.append(F.struct(F.lit(i).alias("ordinal_position"), F.col("n").alias("count"), F.col(f"v{i}").alias("non_null"), low.alias("low"), high.alias("high"), distinct.alias("estimate")))
+        return df.agg(*aggs).select(F.lit(table).alias("table_name"), F.inline(F.array(*cells)))
+
+    return reduce(DataFrame.union, (one(t, df) for t, df in tables.items()))
+
+
+def is_dense(low: int | None, high: int | None, estimate: int | None) -> bool:
+    """Whether words of 64 bits, one for each 64 numbers between the ends, are fewer than half of the distinct numbers."""
+    return low is not None and (high - low) // 64 + 1 <= estimate / 2
+
+
+def column_words(tables: dict[str, DataFrame], dense: set[tuple[str, int]]) -> DataFrame:
+    """(table_name, ordinal_position, word, bits): of each non-null value of a dense column its place among 64 neighbours, as a bit, and
+    which 64 they are; of others a 64-bit hash and one bit. A value has the same word and bit wherever it is."""
 
     def one(table: str, df: DataFrame) -> DataFrame:
-        cells = F.array(*(F.struct(F.lit(i).alias("o"), F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.col(f"`{c}`"))).alias("v")) for i, c in enumerate(df.columns, 1)))
-        return df.select(F.lit(table).alias("table_name"), F.explode(cells).alias("x")).select("table_name", F.col("x.o").alias("ordinal_position"), F.col("x.v").alias("value"))
+        cells = []
+        for i, f in enumerate(df.schema.fields, 1):
+            c = F.col(f"`{f.name}`")
+            number = _number(c, f.dataType) if (table, i) in dense else None
+            word = F.xxhash64(c) if number is None else F.shiftright(number, 6)
+            bits = F.lit(1).cast("long") if number is None else F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(63).cast("int"))
+            cells.append(F.when(c.isNotNull(), F.struct(F.lit(i).alias("o"), word.alias("w"), bits.alias("b"))))
+        exploded = df.select(F.lit(table).alias("table_name"), F.explode(F.array(*cells)).alias("x")).where("x is not null")
+        return exploded.select("table_name", F.col("x.o").alias("ordinal_position"), F.col("x.w").alias("word"), F.col("x.b").alias("bits"))
 
     return reduce(DataFrame.union, (one(t, df) for t, df in tables.items()))
 
@@ -27,13 +65,19 @@ def column_values(tables: dict[str, DataFrame]) -> DataFrame:
 def column_stats(columns: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Distinct values (null ignored), rows and nulls of each column.
 
-    Values are counted by their 64-bit hash, each value once for each task before the shuffle. A column of an empty table has zero counts and
-    counts as unique.
+    A pre-pass counts rows and nulls, and finds the columns of whole numbers that lie so close together that 64 of them fit into a word: of
+    these, words are shuffled in place of values. All other values are counted by their 64-bit hash, each once for each task before
+    the shuffle. A column of an empty table has zero counts and counts as unique.
     """
-    each = column_values(tables).groupBy("table_name", "ordinal_position", "value").agg(F.count("*").alias("n"))
-    stats = each.groupBy("table_name", "ordinal_position").agg(F.count("value").alias("number_unique_values"), F.sum("n").alias("count"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"))
-    out = columns.join(stats, ["table_name", "ordinal_position"], "left").fillna(0, ["number_unique_values", "count", "null_count"])
-    out = out.withColumn("null_ratio", ratio("null_count", "count"))
+    sketches = column_sketches(tables)
+    known = sketches.collect()  # a row for each column
+    dense = {(r["table_name"], r["ordinal_position"]) for r in known if is_dense(r["low"], r["high"], r["estimate"])}
+    words = column_words(tables, dense).groupBy("table_name", "ordinal_position", "word").agg(F.bit_or("bits").alias("bits"))
+    distinct = words.groupBy("table_name", "ordinal_position").agg(F.sum(F.bit_count("bits")).alias("number_unique_values"))
+    counts = tables[next(iter(tables))].sparkSession.createDataFrame([tuple(r)[:4] for r in known], "table_name string, ordinal_position int, count long, non_null long")
+    counts = counts.withColumn("null_count", F.col("count") - F.col("non_null")).drop("non_null")
+    out = columns.join(counts, ["table_name", "ordinal_position"], "left").join(distinct, ["table_name", "ordinal_position"], "left")
+    out = out.fillna(0, ["number_unique_values", "count", "null_count"]).withColumn("null_ratio", ratio("null_count", "count"))
     return out.withColumn("is_unique", names.flag((F.col("number_unique_values") == F.col("count")) & (F.col("null_count") == 0)))
 
 

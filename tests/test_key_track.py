@@ -59,3 +59,21 @@ def test_cross_table_scope(spark):
         assert "is_unique" in str(e)
     else:
         raise AssertionError("missing columns must be an error")
+
+
+def test_distinct_counts_by_words(spark):
+    """Dense and sparse numbers, ends of the range, dates, texts and nulls, against plain distinct counts; words in place of values."""
+    rows = [(i, -i // 3, (i * i * 7919) % (1 << 40), None if i % 5 else i, f"t{i % 50}", float(i % 7), bool(i % 2)) for i in range(4000)]
+    rows += [(2**31 - 1, -(2**63), 2**63 - 1, None, None, None, None), rows[0]]
+    d = spark.createDataFrame(rows, "a int, b long, c long, d short, e string, f double, g boolean").withColumn("h", F.date_add(F.lit("2020-01-01").cast("date"), F.col("a") % 1000))
+    d = d.withColumn("i", F.when(F.col("a") < 4000, F.col("a")))
+    tables = {"t": d, "u": d.limit(0)}
+    got = {(r.table_name, r.column_name): r for r in profile.column_stats(discover_columns(spark, tables), tables).collect()}
+    want = d.agg(*(F.count_distinct(c).alias(c) for c in d.columns)).first()
+    nulls = d.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in d.columns)).first()
+    assert {c: (got["t", c].number_unique_values, got["t", c].null_count, got["t", c]["count"]) for c in d.columns} == {c: (want[c], nulls[c], 4002) for c in d.columns}
+    assert all(got["u", c].number_unique_values == got["u", c]["count"] == 0 for c in d.columns)
+    dense = {(r.table_name, r.ordinal_position) for r in profile.column_sketches(tables).collect() if profile.is_dense(r.low, r.high, r.estimate)}
+    assert dense == {("t", 4), ("t", 8), ("t", 9)}
+    key = ["table_name", "ordinal_position", "word"]
+    assert profile.column_words(tables, dense).select(key).distinct().count() < 0.8 * profile.column_words(tables, set()).select(key).distinct().count()
