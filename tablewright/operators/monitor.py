@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,13 +25,29 @@ def hash_split(df: DataFrame, columns: Sequence[str], percent: int) -> DataFrame
     return df.withColumn("bucket", md5_percent(columns)).withColumn("split", F.when(F.col("bucket") < percent, "reference").otherwise("holdout"))
 
 
+def lowest_hashes(df: DataFrame, by: str, identity: Sequence[str], quota: DataFrame) -> DataFrame:
+    """Of each group the quota of rows whose identity has the lowest hash.
+
+    quota: by, _n (rows of the group), _quota. Rows above a hash that leaves a margin over the quota (six deviations) are dropped where they
+    are; only the others are ranked, so that no task sorts a whole group. Where a group's hashes are so uneven that too few are left, as with
+    rows that repeat an identity, the group is ranked whole.
+    """
+    place = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in identity)).cast("binary"))
+    share = (F.col("_quota") + 6 * F.sqrt(F.col("_quota").cast("double")) + 6) / F.col("_n")
+    d = df.join(quota.select(by, "_quota", share.alias("_share")), by).withColumn("_place", place)
+    low = d.where(F.conv(F.substring("_place", 1, 8), 16, 10).cast("double") < F.col("_share") * 2.0**32)
+    enough = low.groupBy(by).agg(F.count("*").alias("_left"))
+    short = quota.join(enough, by, "left").where(F.coalesce("_left", F.lit(0)) < F.least("_quota", "_n")).select(by)
+    kept = low.join(short, by, "left_anti").unionByName(d.join(short, by, "left_semi"))
+    ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy("_place")))
+    return ranked.where("_rank <= _quota").drop("_quota", "_share", "_place", "_rank")
+
+
 def stratified_sample(df: DataFrame, target: str, limit: int, identity: Sequence[str]) -> DataFrame:
     """Of each class max(1, round(n * limit / N)) rows, halves to even, picked by a hash of their identity."""
     n = df.groupBy(target).agg(F.count("*").alias("_n"))
     n = n.withColumn("_quota", F.greatest(F.lit(1), F.bround(F.col("_n") * limit / F.sum("_n").over(Window.partitionBy()))).cast("long"))
-    place = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in identity)).cast("binary"))
-    d = df.join(F.broadcast(n), target).withColumn("_rank", F.row_number().over(Window.partitionBy(target).orderBy(place)))
-    return d.where("_rank <= _quota").drop("_n", "_quota", "_rank")
+    return lowest_hashes(df, target, identity, n)
 
 
 def _both(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
@@ -83,16 +100,36 @@ def drift_summary(distances: DataFrame, threshold: float) -> DataFrame:
     return distances.agg(F.count_if(F.col("distance") >= threshold).alias("drifted_columns_count"), F.try_divide(F.count_if(F.col("distance") >= threshold), F.count("distance")).alias("drifted_columns_share"))
 
 
+def numbered(events: DataFrame, track: str, ts: str, order: Sequence[str], seconds: int = 3600) -> DataFrame:
+    """`events` with n, their number from 1 on within each track by time and then `order`, and total, how many the track has.
+
+    Events are counted by track and time bucket of so many seconds, the counts are summed up bucket by bucket, and only within a bucket is
+    there an order to find: no task takes a track whole. Null times come first; a null track is a track.
+    """
+    bucket = F.coalesce(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000)), F.lit(-(2**62))).cast("long")
+    d = events.withColumn("_bucket", bucket)
+    counts = d.groupBy(track, "_bucket").agg(F.count("*").alias("_k"))
+    buckets = Window.partitionBy(track).orderBy("_bucket")
+    starts = counts.select(F.col(track).alias("_track"), F.col("_bucket").alias("_at"), (F.sum("_k").over(buckets) - F.col("_k")).alias("_before"), F.sum("_k").over(Window.partitionBy(track)).alias("total"))
+    d = d.withColumn("n", F.row_number().over(Window.partitionBy(track, "_bucket").orderBy(ts, *order)))
+    d = d.join(starts, F.col(track).eqNullSafe(F.col("_track")) & (F.col("_bucket") == F.col("_at")))
+    return d.withColumn("n", F.col("n") + F.col("_before")).drop("_bucket", "_track", "_at", "_before")
+
+
+def due_windows(numbered: DataFrame, size: int, every: int, after: Column | None = None) -> DataFrame:
+    """One row for each event of each report that is due: at `size` events of a track and after each `every` more, over the latest `size`.
+    numbered: n, total; reports due at number `after` or before are left out."""
+    first = F.ceil((F.greatest(F.col("n"), F.lit(size)) - size) / every).cast("long")
+    last = F.floor((F.col("n") - 1) / every).cast("long")
+    d = numbered.withColumn("report", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    due = F.col("report") * every + size
+    return d.where(due <= F.col("total")).where(due > after if after is not None else F.lit(True))
+
+
 def rolling_report(events: DataFrame, track: str, order: Sequence[str], size: int = 60, every: int = 30) -> DataFrame:
     """For each track the events at which a report is due: at `size` events, then after each `every` more; and each report's
-    window of the latest `size` events. One row for each event of each report."""
-    w = Window.partitionBy(track).orderBy(*order)
-    n = events.withColumn("n", F.row_number().over(w))
-    first = F.ceil((F.greatest(F.col("n"), F.lit(size)) - size) / every).cast("long")
-    last = F.floor((F.col("n") + size - 1 - size) / every).cast("long")
-    d = n.withColumn("total", F.max("n").over(Window.partitionBy(track)))
-    d = d.withColumn("report", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
-    return d.where(F.col("report") * every + size <= F.col("total")).drop("n", "total")
+    window of the latest `size` events. One row for each event of each report; the first column of `order` is the time."""
+    return due_windows(numbered(events, track, order[0], order[1:]), size, every).drop("n", "total")
 
 
 def positive_probability(prediction: str, probability: str) -> Column:
@@ -121,10 +158,58 @@ def share_alert(df: DataFrame, ts: str, bad: Column, above: float, size: str, sl
     return d.withColumn("share", F.col("bad") / F.col("n")).where(F.col("share") > above)
 
 
+def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Quantiles of each group, interpolated between neighbours, from values that are counted before they are ranked: no task sees all
+    values of a group. Columns p50, p95, ...; nulls are no values, and a group without any has no row."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
+    d = running_sums(counted, value, ["_k"], by)
+    at = lambda p: F.lit(p) * (F.col("_k_all") - 1)
+    reached = lambda place: F.min(F.when(F.col("_k_upto") > place, F.col(value)))
+    ends = [x for p in quantiles for x in (reached(F.floor(at(p))).alias(f"_low_{p}"), reached(F.ceil(at(p))).alias(f"_high_{p}"))]
+    d = d.groupBy(*by).agg(F.max("_k_all").alias("_k_all"), *ends)
+    between = lambda p: F.col(f"`_low_{p}`") + (F.col(f"`_high_{p}`") - F.col(f"`_low_{p}`")) * (at(p) - F.floor(at(p)))
+    return d.select(*by, *(between(p).alias(f"p{p * 100:g}") for p in quantiles))
+
+
 def latency_quantiles(df: DataFrame, ts: str, value: str, size: str, limit: float) -> DataFrame:
     """p50, p95 and p99 of each window, and the share within the limit."""
-    q = lambda p: F.percentile(value, F.lit(p)).alias(f"p{int(p * 100)}")
-    return windows(df, ts, size).groupBy("window_start").agg(q(0.5), q(0.95), q(0.99), F.avg((F.col(value) <= limit).cast("double")).alias("within_limit"), F.avg(value).alias("mean"))
+    w = windows(df, ts, size)
+    whole = w.groupBy("window_start").agg(F.avg((F.col(value) <= limit).cast("double")).alias("within_limit"), F.avg(value).alias("mean"))
+    return exact_quantiles(w, value, (0.5, 0.95, 0.99), ["window_start"]).join(whole, "window_start")
+
+
+def sketch_bucket(value: Column, error: float) -> Column:
+    """The logarithmic bucket of a value, as sign and number: all values of a bucket are within `error` of its middle, relatively."""
+    gamma = (1 + error) / (1 - error)
+    return F.struct(F.signum(value).cast("int").alias("sign"), F.when(value != 0, F.ceil(F.log(F.abs(value)) / math.log(gamma))).otherwise(0).cast("int").alias("number"))
+
+
+def quantile_sketch(df: DataFrame, value: str, by: Sequence[str], error: float = 0.01) -> DataFrame:
+    """How many values of each group fall into each logarithmic bucket: by, sign, number, n, total (of the values). Nulls are no values.
+
+    A group has as many rows as its values span buckets (of positive doubles between 1e-9 and 1e9 some 2,100 at an error of 1 %), however
+    many values it has. Sketches of several groups are merged by merge_sketches().
+    """
+    d = df.where(F.col(value).isNotNull()).withColumn("_b", sketch_bucket(F.col(value), error))
+    return d.groupBy(*by, F.col("_b.sign").alias("sign"), F.col("_b.number").alias("number")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
+def merge_sketches(sketch: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The sketch of coarser groups, or of sketches that were put together: equal to the sketch of all their values."""
+    return sketch.groupBy(*by, "sign", "number").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def sketch_quantiles(sketch: DataFrame, quantiles: Sequence[float], by: Sequence[str], error: float = 0.01) -> DataFrame:
+    """Quantiles of each group from its sketch, each within the relative error of the value at that rank: by, n, mean, p50, p95, ..."""
+    gamma = (1 + error) / (1 - error)
+    place = F.col("sign") * F.col("number")
+    upto = Window.partitionBy(*by).orderBy("sign", place).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(*by)
+    middle = F.when(F.col("sign") == 0, 0.0).otherwise(F.col("sign") * 2 * F.pow(F.lit(gamma), F.col("number")) / (gamma + 1))
+    d = sketch.select(*by, "sign", "n", "total", place.alias("_place"), middle.alias("_middle"), F.sum("n").over(upto).alias("_upto"), F.sum("n").over(every).alias("_all"))
+    at = lambda p: F.floor(F.lit(p) * (F.col("_all") - 1)) + 1
+    found = lambda p: F.min_by("_middle", F.when(F.col("_upto") >= at(p), F.col("_upto"))).alias(f"p{p * 100:g}")
+    return d.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"), *(found(p) for p in quantiles))
 
 
 def request_rate(df: DataFrame, ts: str, by: Sequence[str], size: str, seconds: int) -> DataFrame:

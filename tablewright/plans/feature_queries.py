@@ -12,7 +12,8 @@ from tablewright.plans.manifest_queries import USE, _use
 from tablewright.plans.model_queries import _labelled
 from tablewright.plans.run_queries import _events
 from tablewright.plans.star import star
-from tablewright.streaming import feeds
+from tablewright.sources.ledger import new_ledger
+from tablewright.streaming import feeds, reports
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def classification_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confusion counts over the latest events of each model, from the stream; an event's target is whether its value is high."""
     s = feeds.event_stream(spark, sf_dir)
     s = s.select(F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("track"), "ts", "event_id", (F.col("value") > 60).cast("int").alias("target"), F.when(F.col("event_id") % 11 > 0, (F.col("event_id") % 2)).cast("int").alias("prediction"))
-    return feeds.run_available(feeds.classification_reports(s))
+    return reports.classification_reports(s, new_ledger(spark))
 
 
 def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +190,16 @@ _CN_TYPES = dict(zip(CUSTOMER_NATION, ("bigint", "double", "varchar", "integer",
 _HANDLING_TYPES = dict(zip(HANDLING, ("bigint", "varchar", "varchar", "varchar"), strict=True))
 _EVENTS = "e AS (SELECT event_id, ts, user_id, event_type, value, 'm' || (user_id % 3) AS model, CASE WHEN user_id % 3 = 2 THEN 1 ELSE event_id % 2 END AS predicted FROM events)"
 _ROLES = {"l_orderkey": 1, "l_partkey": 1, "l_suppkey": 1, "l_linenumber": 1, "l_quantity": 1, "l_extendedprice": 1, "l_discount": 1, "l_tax": 1, "l_returnflag": 0, "l_linestatus": 0}
+_LABELLED_EVENTS = """e AS (SELECT 'm' || CAST(user_id % 3 AS VARCHAR) AS track, ts, event_id, CAST(value > 60 AS INT) AS target, CASE WHEN event_id % 11 > 0 THEN event_id % 2 END AS prediction FROM events)"""
+
 ORACLE_SQL = {
+    "classification_windows": f"""
+        WITH RECURSIVE {_LABELLED_EVENTS}, n AS (SELECT *, row_number() OVER w AS n, sum(target) OVER (w ROWS 59 PRECEDING) AS ones FROM e WHERE target IS NOT NULL AND prediction IS NOT NULL WINDOW w AS (PARTITION BY track ORDER BY ts, event_id)),
+        g AS (SELECT *, min(CASE WHEN n >= 60 AND ones BETWEEN 1 AND 59 THEN n END) OVER (PARTITION BY track ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS upcoming FROM n),
+        r AS (SELECT track, 0 AS report, upcoming AS at FROM g WHERE n = 60 AND upcoming IS NOT NULL UNION ALL SELECT g.track, r.report + 1, g.upcoming FROM r JOIN g ON g.track = r.track AND g.n = r.at + 30 WHERE g.upcoming IS NOT NULL)
+        SELECT r.track, CAST(r.report AS BIGINT) AS report, min(event_id) AS first, max(event_id) AS last, count(*) FILTER (target = 1 AND prediction = 1) AS tp, count(*) FILTER (target = 0 AND prediction = 1) AS fp,
+               count(*) FILTER (target = 1 AND prediction = 0) AS fn, count(*) FILTER (target = 0 AND prediction = 0) AS tn
+        FROM r JOIN n ON n.track = r.track AND n.n > r.at - 60 AND n.n <= r.at GROUP BY 1, 2""",
     "normal_form_features": _features_sql("customer_nation", _CN, _CN_TYPES),
     "normal_form_features_pairs": _features_sql("handling", _HANDLING, _HANDLING_TYPES),
     "join_ladder_whole": """SELECT c_mktsegment AS order_customer_mktsegment, o_orderstatus AS order_orderstatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, count(DISTINCT o_custkey) AS customers

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators import evaluation, training
-from tablewright.streaming import feeds
+from tablewright.sources.ledger import new_ledger
+from tablewright.streaming import feeds, reports
 
 FEATURES = ["n_chars", "n_words", "n_symbols", "n_capitals", "mean_length"]
 
@@ -92,7 +93,9 @@ def streamed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.run_available(feeds.rolling_reports(feeds.event_stream(spark, sf_dir))).withColumn("mean_value", F.round("mean_value", 6))
+    """Reports over the latest events of each type, from the stream."""
+    s = feeds.event_stream(spark, sf_dir).select(F.col("event_type").alias("track"), "ts", "event_id", "value")
+    return reports.rolling_reports(s, new_ledger(spark)).withColumnRenamed("track", "event_type").withColumn("mean_value", F.round("mean_value", 6))
 
 
 QUERIES = {f.__name__: f for f in (out_of_fold_scores, random_search, class_scores, signature_report, embedding_clusters, letter_clusters, letter_cluster_quality, cluster_quality, streamed_rate, streamed_reports)}

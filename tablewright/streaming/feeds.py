@@ -1,17 +1,19 @@
-"""Streams: notifications that wake a diff, windowed counts with late data, rolling reports from keyed state."""
+"""Streams: notifications that wake a diff, windowed counts with late data."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tablewright.operators.changefeed import diff_snapshots
+from tablewright.sources.ledger import Ledger, Put, View
 from tablewright.sources.shared import shared_dir
 
+SEEN = "database string, schema string, table_name string, row_count long, column_count int"
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream of files; time as a timestamp, which watermarks need."""
@@ -47,7 +49,7 @@ def windowed_counts(stream: DataFrame, ts: str, by: list[str], size: str, late:
 
 def notification_stream(notes: DataFrame, diff: Callable[[], DataFrame], record: Callable[[DataFrame, int], None], watermarks: Callable[[], None], checkpoint: str):
     """Each micro-batch of notifications, however many, wakes one diff; its changes are recorded first and the watermarks moved after,
-    so that a crash in between repeats changes and loses none. record() gets the batch id, to leave out what it has."""
+    so that a crash in between repeats changes and loses none. record() gets the batch id; recorded_notifications() leaves out what it has."""
 
     def wake(batch: DataFrame, n: int) -> None:
         if not batch.isEmpty():
@@ -57,47 +59,16 @@ def notification_stream(notes: DataFrame, diff: Callable[[], DataFrame], record:
     return notes.writeStream.foreachBatch(wake).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-REPORT = "event_type string, report long, n long, first long, last long, mean_value double"
-
-
-def rolling_reports(stream: DataFrame, size: int = 60, every: int = 30) -> DataFrame:
-    """For each event type a report over the latest `size` events, at `size` events and after each `every` more. State holds `size`
-    events and a counter; within a micro-batch, which event_stream()'s files a batch bound, events are taken in the order of time."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, ids, values = state.get if state.exists else (0, [], [])
-        ids, values, out = list(ids), list(values), []
-        for event, value in pd.concat(list(batches)).sort_values(["ts", "event_id"])[["event_id", "value"]].itertuples(index=False):
-            ids, values, seen = [*ids, int(event)][-size:], [*values, float(value)][-size:], seen + 1
-            if seen >= size and (seen - size) % every == 0:
-                out.append((key[0], (seen - size) // every, len(ids), min(ids), max(ids), sum(values) / len(values)))
-        state.update((seen, ids, values))
-        yield pd.DataFrame(out, columns=["event_type", "report", "n", "first", "last", "mean_value"])
-
-    s = stream.select("event_type", "ts", "event_id", "value")
-    return s.groupBy("event_type").applyInPandasWithState(update, REPORT, "seen long, ids array<long>, values array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-CLASS_REPORT = "track string, report long, first long, last long, tp long, fp long, fn long, tn long"
-
-
-def classification_reports(stream: DataFrame, size: int = 60, every: int = 30) -> DataFrame:
-    """Confusion counts of each track over its latest `size` labelled events, due at `size` events and after each `every` more.
-
-    stream: track, ts, event_id, target, prediction (0 or 1); events that lack one of the two are passed over. A report that is due
-    while the window's targets are of one class waits for the next event, and the count to the following report starts when it is made.
-    """
+def recorded_notifications(notes: DataFrame, ledger: Ledger, snapshot: Callable[[], DataFrame], source: str) -> None:
+    """Each micro-batch of notifications wakes one diff of the tables as they are against those last seen. Its changes and what was seen
+    are one commit of the ledger (tables pending and seen), so a batch that comes again, after a crash anywhere, changes nothing twice and
+    loses nothing."""
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        wait, made, ids, pairs = state.get if state.exists else (size, 0, [], [])
-        ids, pairs, out = list(ids), list(pairs), []
-        for event, target, said in pd.concat(list(batches)).sort_values(["ts", "event_id"])[["event_id", "target", "prediction"]].itertuples(index=False):
-            ids, pairs, wait = [*ids, int(event)][-size:], [*pairs, int(2 * target + said)][-size:], wait - 1
-            if wait <= 0 and len({p // 2 for p in pairs}) == 2:
-                out.append((key[0], made, min(ids), max(ids), pairs.count(3), pairs.count(1), pairs.count(2), pairs.count(0)))
-                wait, made = every, made + 1
-        state.update((wait, made, ids, pairs))
-        yield pd.DataFrame(out, columns=["track", "report", "first", "last", "tp", "fp", "fn", "tn"])
+    def work(batch: DataFrame, view: View) -> dict[str, Put]:
+        if batch.isEmpty():
+            return {}
+        now = view.written(snapshot())
+        changes = diff_snapshots(now, view.read("seen", SEEN)).withColumns({"source": F.lit(source), "detected_at": F.current_timestamp()})
+        return {"pending": Put(changes, append=True), "seen": Put(now)}
 
-    s = stream.where("target is not null and prediction is not null").select("track", "ts", "event_id", "target", "prediction")
-    return s.groupBy("track").applyInPandasWithState(update, CLASS_REPORT, "wait long, made long, ids array<long>, pairs array<long>", "append", GroupStateTimeout.NoTimeout)
+    ledger.stream(notes, "notifications", work)

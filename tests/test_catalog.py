@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from tablewright.operators import evaluation, fd_algebra, features, monitor, quality, ranked, recipes
 from tablewright.plans.star import COLUMNS
 from tablewright.sources import shared, tables
-from tablewright.streaming import feeds
+from tablewright.sources.ledger import Ledger
+from tablewright.streaming import feeds, reports
 
 
 def test_labelled_csv_and_staging(spark, tmp_path):
@@ -217,7 +218,7 @@ def test_classification_windows_wait_for_both_classes(spark, tmp_path):
     schema = "event_id long, track string, target int, prediction int"
     spark.createDataFrame(rows, schema).withColumn("ts", F.col("event_id").cast("timestamp")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema + ", ts timestamp").parquet(str(tmp_path / "in"))
-    got = feeds.run_available(feeds.classification_reports(stream, 10, 5)).collect()
+    got = reports.classification_reports(stream, Ledger(spark, str(tmp_path / "ledger")), 10, 5).collect()
     for track in "tu":
         want = due_reports([(i, t, p) for i, k, t, p in rows if k == track and t is not None], 10, 5)
         assert [tuple(r)[2:] for r in sorted(got, key=lambda r: r.report) if r.track == track] == want and want
