@@ -31,7 +31,7 @@ def test_stale_claims_are_released_by_a_timer(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "ledger"))
     stream = spark.readStream.schema(STEPS).parquet(str(tmp_path / "in"))
     released = lambda: {(r.table_name, r.track, r.run) for r in ledger.read("released", timers.RELEASES).collect()}
-    q = timers.start(timers.stale_claims(stream, minutes=1), ledger, "released", every="1 second")
+    q = timers.start(timers.stale_claims(stream, minutes=0.1), ledger, "released")
     try:
         wait_for(lambda: len(released()) >= 5)  # nothing arrives after the first micro-batch
         assert q.exception() is None
@@ -53,7 +53,7 @@ def test_silence_is_reported_by_a_timer(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "ledger"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     got = lambda: sorted((r.track, r.last_seen.timestamp()) for r in ledger.read("silent", "track string, last_seen timestamp, due_at timestamp").collect())
-    q = timers.start(timers.silent_tracks(stream, 3), ledger, "silent", every="1 second")
+    q = timers.start(timers.silent_tracks(stream, 3), ledger, "silent")
     try:
         wait_for(lambda: len(got()) >= 2)
         assert [t for t, _ in got()] == ["a", "b"]
