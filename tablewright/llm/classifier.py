@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import SPACES, Kept, Segment, crc32_of_id, distinct, map_rows, mix64, segments, shingles, ship, spans, word_bounds
+from tablewright.llm.common import SPACES, Kept, Segment, crc32_of_id, distinct, map_rows, mix64, sampled, segments, shingles, ship, spans, word_bounds
 
 BITS = 18
 #: The bounded training sample: labelled rows that are learned from, about so many.
@@ -179,10 +179,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
     calibrates. Without labels of both classes every text scores 0.5.
     """
     part = F.pmod(crc32_of_id(), F.lit(parts))
+    labels = labels.select("doc_id", label)
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (part != held)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     share = TRAIN_ROWS / max(chosen.count(), TRAIN_ROWS)
-    chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("part", part)
-    rows = docs.join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "label", "part", F.col("text").cast("binary").alias("text"))
+    chosen = chosen.where(sampled(F.col("doc_id"), share)).withColumn("part", part)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "label", "part", F.col("text").cast("binary").alias("text"))
 
     def make():
         def fn(rows):

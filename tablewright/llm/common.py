@@ -12,7 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows, and bytes of text about, that a Python function gets at once, so that a worker's memory stays bounded.
@@ -81,6 +81,22 @@ def ship(spark: SparkSession) -> None:
 _shipped: set[str] = set()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have, however they are spelt there."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def sampled(key: Column, share: float) -> Column:
+    """Whether a hash of the key is among that share of all; a share of a billionth picks some of many billions, too."""
+    return F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 52)) < F.lit(int(share * (1 << 52)))
+
+
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most BATCH_ROWS rows and about BATCH_BYTES bytes (a longer row is a part of its own)."""
     at = 0

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import LOWER, map_rows, stash, unstash
+from tablewright.llm.common import LOWER, map_rows, stash, unstash, unused
 
 CHUNK = 1 << 16
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -173,16 +173,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = stash(found)
     for old in written:
         unstash(old)
-    gone = found.where("not kept").select("doc_id", "text_sha256")
-    again = stash(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    key, sha = unused(docs, "gone_id", "gone_sha256")
+    gone = found.where("not kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha))
+    again = stash(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    same = docs["doc_id"].eqNullSafe(F.col(key))
     if again.isEmpty():
-        return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+        return docs.join(gone.select(key), same, "left_anti").select(kept)
     # some doc_id is repeated: tell its rows apart by their texts, and drop whole repeated rows
-    same = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id"))
-    d, r = docs.alias("d"), again.alias("r")
-    once = d.join(r, same("d", "r"), "left_anti")
-    once = once.join(gone.select(F.col("doc_id").alias("gone_id")), F.col("d.doc_id") == F.col("gone_id"), "left_anti")
-    sha = F.sha2(lowered().cast("binary"), 256)
-    more = d.join(r, same("d", "r"), "left_semi").withColumn("sha_of_text", sha).alias("d")
-    more = more.join(gone.alias("g"), same("d", "g") & (F.col("d.sha_of_text") == F.col("g.text_sha256")), "left_anti")
-    return once.select(docs.columns).union(more.dropDuplicates(["doc_id", "sha_of_text"]).select(docs.columns))
+    once = docs.join(again, same, "left_anti")
+    once = once.join(gone.select(key), once["doc_id"].eqNullSafe(F.col(key)), "left_anti")
+    (own,) = unused(docs, "own_sha256")
+    more = docs.join(again, same, "left_semi").withColumn(own, F.sha2(lowered().cast("binary"), 256))
+    more = more.join(gone, more["doc_id"].eqNullSafe(F.col(key)) & (more[own] == F.col(sha)), "left_anti")
+    return once.select(kept).union(more.dropDuplicates(["doc_id", own]).select(kept))

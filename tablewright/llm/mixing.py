@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import NOT_SPACE, stash
+from tablewright.llm.common import NOT_SPACE, stash, unused
 
 #: Hash buckets of a source (hexadecimal digits), whose sums give every document its place in the source's seeded order.
 DIGITS = 3
@@ -37,7 +37,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     documents are taken in a seeded order (md5 of seed and doc_id) until it is full, the last of them in part. So every
     source's taken words are its target rounded down, and a document is taken `epochs` times at most. A null source is a source of
     its own; rows that repeat a doc_id are documents of their own; an empty table gives no rows.
-    Returns doc_id, size, source_size, target, taken, and extra: what of taken is beyond the whole repetitions.
+    Returns doc_id, size, source_size, target, taken, extra (what of taken is beyond the whole repetitions), repeats and source.
     """
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)).cast("long").alias("size"))
     sized = sized.withColumn("place", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
@@ -57,14 +57,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("wanted") / F.col("source_size"))).otherwise(0).cast("long")
     left = F.col("wanted") - whole * F.col("source_size") - F.col("start") - F.col("ahead")
     at = at.withColumn("repeats", whole).withColumn("extra", F.least(F.col("size"), F.greatest(left, F.lit(0))).cast("long"))
-    return at.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats") + F.col("extra")).alias("taken"), "extra", "repeats")
+    return at.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats") + F.col("extra")).alias("taken"), "extra", "repeats", "source")
 
 
 def expand(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: each document as often as taken, with all its columns. Of a part, at least half is a whole document, less
-    is none, so that no text is cut; it concerns one document a source."""
+    is none, so that no text is cut; it concerns one document a source. Rows that repeat doc_id and source are taken equally often, as often as
+    the least taken of them."""
     plan = mix(docs, weights, epochs, seed)
     times = (F.col("repeats") + F.when((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)).cast("int")
-    plan = plan.groupBy("doc_id").agg(F.max(times).alias("__times")).select(F.col("doc_id").alias("__id"), "__times")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]))
-    return joined.withColumn("__copy", F.explode(F.expr("if(__times > 0, sequence(1, __times), array())"))).select(docs.columns)
+    key, of, n, copy = unused(docs, "plan_id", "plan_source", "plan_times", "plan_copy")
+    plan = plan.groupBy(F.col("doc_id").alias(key), F.col("source").alias(of)).agg(F.min(times).alias(n)).where(F.col(n) > 0)
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan[key]) & docs["source"].eqNullSafe(plan[of]))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*(f"`{c}`" for c in docs.columns))

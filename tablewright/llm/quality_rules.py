@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import SPACE_RUN, stash, unstash
+from tablewright.llm.common import SPACE_RUN, sampled, stash, unstash
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Rows of the sample on which the rules are timed, about, and how often each is timed.
@@ -94,7 +94,7 @@ def ordered_rules(measured: DataFrame, rules: dict[str, Callable[[], Column]] =
     is taken off.
     """
     share = min(1.0, rows / max(measured.count(), 1))
-    sample = stash(measured.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)).where(~base_failed()))
+    sample = stash(measured.where(sampled(F.col("doc_id"), share)).where(~base_failed()))
     many = sample.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(REPEAT))))
 
     def seconds(value: Column) -> float:

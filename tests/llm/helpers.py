@@ -36,6 +36,6 @@ SCHEMA = "doc_id long, text string, source string, lang string"
 def frame(spark, rows, clash=True):
     df = spark.createDataFrame(rows, SCHEMA).repartition(2)
     if clash:  # extra columns with names that operators use inside
-        for c in ("n_words", "key", "fp", "rep", "class", "size", "kept", "hashes", "score"):
+        for c in ("n_words", "key", "fp", "rep", "class", "size", "kept", "hashes", "score", "label", "part", "quality", "sha_of_text", "own_sha256", "gone_id", "gone_sha256", "__times", "__id", "__copy", "Plan_Id", "plan_times"):
             df = df.selectExpr("*", f"'x' AS `{c}`")
     return df

@@ -6,10 +6,12 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from tablewright.llm import classifier, langid, mixing, quality_rules, queries, secrets, substring, tokens
+from tablewright.llm import classifier, common, langid, mixing, quality_rules, queries, secrets, substring, tokens
 from tests.llm.helpers import WORD, corpus, frame, sentence
 
 SF = "/root/testdata/sf0.01"
@@ -290,3 +292,46 @@ def test_classifier(spark):
 @pytest.mark.parametrize("op", [lambda d: tokens.token_counts(d, PATH, 9), substring.remove_repeats, quality_rules.quality_rules, lambda d: secrets.digest(secrets.secret_spans(d)), mixing.mix, mixing.expand], ids=["tokens", "passages", "rules", "secrets", "mix", "expand"])
 def test_empty_table(spark, op):
     assert op(frame(spark, [])).count() == 0
+
+
+def test_dual_coordinate_descent_against_a_plain_solver(monkeypatch):
+    """The same objective by projected gradient steps on the whole dual, and ratios by plain counts."""
+    monkeypatch.setattr(classifier, "EPOCHS", 400)
+    rng = np.random.default_rng(7)
+    y = np.where(rng.random(240) < 0.3, 1, -1)
+    rows = [np.unique(np.concatenate((rng.integers(0, 60, 8), rng.integers(0, 12, 2) + (60 if k > 0 else 66)))).astype(np.int32) for k in y]
+    ratio = classifier.log_count_ratios(rows, y)
+    counts = {k: Counter(x for r, label in zip(rows, y, strict=True) if label == k for x in r.tolist()) for k in (-1, 1)}
+    total = {k: (1 << classifier.BITS) * classifier.ALPHA + sum(c.values()) for k, c in counts.items()}
+    for x in (0, 5, 61, 70, 77, 5000):
+        want = math.log((counts[1][x] + classifier.ALPHA) / total[1]) - math.log((counts[-1][x] + classifier.ALPHA) / total[-1])
+        assert math.isclose(ratio[x], want, rel_tol=1e-9)
+    dense = np.zeros((len(rows), 100))
+    for i, r in enumerate(rows):
+        dense[i, r] = ratio[r]
+        dense[i] /= np.linalg.norm(dense[i])
+    most = np.array([classifier.COST * len(y) / (2 * (y == k).sum()) for k in y])
+    q = np.outer(y, y) * (dense @ dense.T + 1)
+    dual, step = np.zeros(len(y)), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(60_000):
+        dual = np.clip(dual - step * (q @ dual - 1), 0, most)
+    plain_w, plain_b = (dual * y) @ dense, (dual * y).sum()
+    loss = lambda w, b: 0.5 * (w @ w + b * b) + (most * np.maximum(0, 1 - y * (dense @ w + b))).sum()
+    w, b = classifier.dual_coordinate_descent(rows, y, ratio)
+    best = dual.sum() - 0.5 * dual @ q @ dual  # no weights come below it
+    assert best - 1e-6 <= loss(w[:100], b) <= best * 1.005 and abs(loss(plain_w, plain_b) - best) < 0.005 * best
+    assert not w[100:].any()
+
+
+def test_small_shares_of_large_tables_pick_some(spark):
+    """A share far below a millionth: rows are picked in proportion, not none."""
+    d = spark.range(2_000_000)
+    assert 0 < d.where(common.sampled(F.col("id"), 5e-6)).count() < 40 and d.where(common.sampled(F.col("id"), 1.0)).count() == 2_000_000
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    """The same doc_id in two sources, one of them taken thrice and the other in part."""
+    rows = [(1, "a b c d", "big", "x"), (1, "a b", "small", "x"), *((k, "w " * 20, "big", "x") for k in range(2, 40))]
+    plan = {(r.doc_id, r.source): r.repeats for r in mixing.mix(frame(spark, rows), weights=(1, 1)).collect()}
+    n = Counter((r.doc_id, r.source) for r in mixing.expand(frame(spark, rows), weights=(1, 1)).collect())
+    assert n[1, "small"] == 3 == plan[1, "small"] and n[1, "big"] <= 1 and plan[1, "big"] == 0
