@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions import names
@@ -12,30 +12,62 @@ from tablewright.functions import names
 NEEDED = {"table_name", "column_name", "is_unique"}
 
 
+#: Table variants of one table: its name, singular and plural.
+MOST_VARIANTS = 3
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """The distinct substrings of GRAM characters; none of a shorter text."""
+    every = F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.substring(text, i, F.lit(GRAM)))
+    return F.when(F.length(text) >= GRAM, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+
+def references(stems: DataFrame, variants: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """What the stems of a scope may refer to: scope, stem, is_variant (the stem is itself a table variant) and within, up to
+    MOST_VARIANTS + 1 of the variants that hold a stem of GRAM characters or more.
+
+    stems: scope, stem; variants: scope, v; each once. Variants are indexed by their substrings of GRAM characters, a stem looks only at those
+    under its rarest one, so no row meets all tables of its scope. A table takes its own variants out of what its columns refer to; as these
+    are MOST_VARIANTS at most, the variants that are kept always show whether another is left.
+    """
+    s = list(scope)
+    index = variants.select(*s, "v", F.explode(_grams(F.col("v"))).alias("gram"))
+    counts = index.groupBy(*s, "gram").agg(F.count("*").alias("n"))
+    parts = stems.select(*s, "stem", F.size(_grams(F.col("stem"))).alias("grams"), F.explode(_grams(F.col("stem"))).alias("gram"))
+    rarest = parts.join(counts, [*s, "gram"]).groupBy(*s, "stem", "grams").agg(F.count("*").alias("found"), F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    met = rarest.where("found = grams").select(*s, "stem", "gram").join(index, [*s, "gram"]).where(F.col("v").contains(F.col("stem")))
+    few = met.withColumn("place", F.row_number().over(Window.partitionBy(*s, "stem").orderBy("v"))).where(F.col("place") <= MOST_VARIANTS + 1)
+    within = few.groupBy(*s, "stem").agg(F.collect_set("v").alias("within"))
+    same = variants.select(*s, F.col("v").alias("stem"), F.lit(True).alias("is_variant"))
+    return stems.join(same, [*s, "stem"], "left").join(within, [*s, "stem"], "left")
+
+
 def add_cross_table_features(df: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Seven features of each row from its scope; all rows stay. Missing columns are an error.
 
     Names compare in lower case. A scope's table variants, without the own table's, are what a name can refer to: a variant that the
-    own table has too is taken out, whichever table gave it. A scope's list of table names is metadata, and goes by broadcast or
-    shuffle as its size says.
+    own table has too is taken out, whichever table gave it. Tables of a name are counted, never gathered; references are looked up once
+    for each stem of a scope.
     """
     missing = (NEEDED | set(scope)) - set(df.columns)
     if missing:
         raise ValueError(f"columns are missing: {sorted(missing)}")
     s = list(scope)
     d = df.withColumn("_t", F.lower("table_name")).withColumn("_c", F.lower("column_name")).withColumn("_stem", names.stem(F.col("column_name"))).withColumn("_own", names.table_variants(F.col("table_name")))
-    by_name = d.groupBy(*s, "_c").agg(F.collect_set("_t").alias("_tables"), F.collect_set(F.when(F.col("is_unique") == 1, F.col("_t"))).alias("_unique_tables"))
-    variants = d.select(*s, F.explode("_own").alias("_v")).groupBy(*s).agg(F.collect_set("_v").alias("_variants"))
-    d = d.join(by_name, [*s, "_c"]).join(variants, s)
-    others = F.array_except("_variants", "_own")
-    elsewhere = F.size(F.array_remove("_unique_tables", F.col("_t"))) > 0
-    exact = F.array_contains(others, F.col("_stem"))
+    by_table = d.groupBy(*s, "_c", "_t").agg(F.max((F.coalesce("is_unique", F.lit(0)) == 1).cast("int")).alias("_unique_here"))
+    by_name = by_table.groupBy(*s, "_c").agg(F.count("*").alias("_tables"), F.sum("_unique_here").alias("_unique"))
+    found = references(d.select(*s, F.col("_stem").alias("stem")).distinct(), d.select(*s, F.explode("_own").alias("v")).distinct(), s).withColumnRenamed("stem", "_stem")
+    d = d.join(by_table, [*s, "_c", "_t"]).join(by_name, [*s, "_c"]).join(found, [*s, "_stem"])
+    elsewhere = F.col("_unique") - F.col("_unique_here") > 0
+    exact = F.coalesce("is_variant", F.lit(False)) & ~F.array_contains("_own", F.col("_stem"))
+    fuzzy = F.coalesce(F.size(F.array_except("within", "_own")) > 0, F.lit(False))
     return (
-        d.withColumn("n_other_tables_with_same_column_name", F.size(F.array_remove("_tables", F.col("_t"))))
+        d.withColumn("n_other_tables_with_same_column_name", (F.col("_tables") - 1).cast("int"))
         .withColumn("name_unique_in_other_table", names.flag(elsewhere))
         .withColumn("is_non_unique_and_name_unique_elsewhere", names.flag(elsewhere & (F.col("is_unique") == 0)))
         .withColumn("name_references_other_table_exact", names.flag(exact))
-        .withColumn("name_references_other_table_fuzzy", names.flag(exact | ((F.length("_stem") >= 3) & F.exists(others, lambda v: v.contains(F.col("_stem"))))))
+        .withColumn("name_references_other_table_fuzzy", names.flag(exact | fuzzy))
         .withColumn("name_ends_with_id_no_underscore", names.ends_with_bare_id(F.col("column_name")))
         .withColumn("name_ends_with_code_or_num", names.ends_with_code(F.col("column_name")))
         .select(*df.columns, *FEATURES)

@@ -1,5 +1,7 @@
 """Golden cases of profiles, names and scopes."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tablewright.functions import names
@@ -77,3 +79,42 @@ def test_distinct_counts_by_words(spark):
     assert dense == {("t", 4), ("t", 8), ("t", 9)}
     key = ["table_name", "ordinal_position", "word"]
     assert profile.column_words(tables, dense).select(key).distinct().count() < 0.8 * profile.column_words(tables, set()).select(key).distinct().count()
+
+
+def plain_features(rows):
+    """The references of every row by looking at all tables of its scope."""
+    stem = lambda c: next((c[: -len(e)].rstrip("_") if len(c[: -len(e)].rstrip("_")) >= 2 else c for e in ENDS if c.endswith(e)), c)
+    variants = lambda t: {t, *([t[:-3] + "y"] if t.endswith("ies") else []), t[:-1] if t.endswith("s") else t + "s"}
+    tables = {}
+    for scope, t, *_ in rows:
+        tables.setdefault(scope, set()).update(variants(t.lower()))
+    unique, named = {}, {}
+    for scope, t, c, u in rows:
+        named.setdefault((scope, c.lower()), set()).add(t.lower())
+        if u == 1:
+            unique.setdefault((scope, c.lower()), set()).add(t.lower())
+    out = []
+    for scope, t, c, u in rows:
+        x, others = stem(c.lower()), tables[scope] - variants(t.lower())
+        elsewhere = bool(unique.get((scope, c.lower()), set()) - {t.lower()})
+        exact = x in others
+        out.append((scope, t, c, u, len(named[scope, c.lower()]) - 1, int(elsewhere), int(elsewhere and u == 0), int(exact), int(exact or (len(x) >= 3 and any(x in v for v in others)))))
+    return out
+
+
+ENDS = names.ID_SUFFIXES
+
+
+def test_references_of_a_scope_of_ten_thousand_tables(spark):
+    """Against all tables where they are few; and in a large scope, by what was planted there."""
+    rng = random.Random(6)
+    parts = ["ord", "er", "s", "cust", "omer", "cat", "egories", "x", "line", "it", "em", "orders", "ty"]
+    name = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))
+    rows = [(f"s{rng.randrange(3)}", name().upper() if rng.random() < 0.2 else name(), name() + rng.choice(["", "_id"]), rng.randrange(2)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "scope string, table_name string, column_name string, is_unique int")
+    got = scope.add_cross_table_features(df, ["scope"]).select("scope", "table_name", "column_name", "is_unique", *scope.FEATURES[:5]).collect()
+    assert sorted(map(tuple, got)) == sorted(plain_features(rows))
+    many = [("all", f"table{k:05d}", c, int(c == "id")) for k in range(10_000) for c in ("id", f"table{(k + 1) % 10_000:05d}_id", "le0_code", "zzz")]
+    found = scope.add_cross_table_features(spark.createDataFrame(many, df.schema), ["scope"]).groupBy(F.regexp_replace("column_name", "[0-9]{5}", "N").alias("c")).agg(
+        *(F.sum(x).alias(x) for x in scope.FEATURES[:5]), F.count("*").alias("n")).collect()
+    assert {r.c: tuple(r)[1:] for r in found} == {"id": (10_000 * 9_999, 10_000, 0, 0, 0, 10_000), "tableN_id": (0, 0, 0, 10_000, 10_000, 10_000), "le0_code": (10_000 * 9_999, 0, 0, 0, 10_000, 10_000), "zzz": (10_000 * 9_999, 0, 0, 0, 0, 10_000)}
