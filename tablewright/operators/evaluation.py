@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +59,42 @@ def grouped_stratified_folds(rows: DataFrame, group: str, label: str, k: int = 5
     return rows.join(g, group)
 
 
+#: Groups that one task deals; with more, a hash deals the groups to tasks, each of which balances its own.
+DEAL = 10_000
+
+
+def balanced_folds(rows: DataFrame, group: str, label: str, k: int = 5, deal: int = DEAL) -> DataFrame:
+    """A fold for each row, so that no group is in two folds and every class is spread evenly, also where groups are of very different size.
+
+    Groups, largest first, go one by one to the fold in which the squares of the folds' shares of each class then grow least, the first of
+    equals. A fold's share of a class differs from 1 / k by no more than the share of the class's largest group, in each deal. Null groups
+    and labels are a group and a class. Only a row for each group and class, with its count, leaves the tables.
+    """
+    c = rows.groupBy(F.col(group).alias("_of"), F.col(label).cast("string").alias("c")).agg(F.count("*").alias("n"))
+    totals = {r["c"]: r["n"] for r in c.groupBy("c").agg(F.sum("n").alias("n")).orderBy("c").collect()}  # a row for each class
+    groups = c.groupBy("_of").agg(F.collect_list(F.struct("c", "n")).alias("counts"), F.sum("n").alias("size"))
+    tasks = groups.agg(F.greatest(F.ceil(F.count("*") / deal), F.lit(1)).alias("tasks"))
+    groups = groups.crossJoin(F.broadcast(tasks)).withColumn("task", F.pmod(F.xxhash64("_of"), F.col("tasks"))).withColumn("tie", F.md5(F.coalesce(F.col("_of").cast("string"), F.lit("")).cast("binary")))
+    place, total = {name: i for i, name in enumerate(totals)}, [float(n) for n in totals.values()]
+    kind = rows.schema[group].dataType.simpleString()
+
+    def dealt(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "tie"], ascending=[False, True], ignore_index=True)
+        load, folds = [[0.0] * len(total) for _ in range(k)], []
+        for counts in pdf["counts"]:
+            mine = [(place[x["c"]], float(x["n"])) for x in counts]
+            mine.sort()
+            cost = [sum((2 * held[i] + n) * n / (total[i] * total[i]) for i, n in mine) for held in load]
+            fold = cost.index(min(cost))
+            for i, n in mine:
+                load[fold][i] += n
+            folds.append(fold)
+        return pd.DataFrame({"_of": pdf["_of"], "fold": folds})
+
+    folds = groups.groupBy("task").applyInPandas(dealt, f"_of {kind}, fold int")
+    return rows.join(folds, rows[group].eqNullSafe(folds["_of"])).drop("_of")
+
+
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
     """Balanced weights: rows / (classes * rows of the class)."""
     c = rows.groupBy(label).agg(F.count("*").alias("n"))
@@ -127,8 +164,28 @@ def fold_summary(metrics: DataFrame, by: Sequence[str] = (), value: str = "f1")
 
 def error_buckets(rows: DataFrame, flags: Sequence[str], label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Rates of the flags in true positives, false positives and false negatives."""
-    bucket = F.when((F.col(label) == 1) & (F.col(prediction) == 1), "TP").when(F.col(prediction) == 1, "FP").when(F.col(label) == 1, "FN")
-    return rows.withColumn("bucket", bucket).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"), *(F.avg(F.col(f).cast("double")).alias(f"{f}_rate") for f in flags))
+    return rows.withColumn("bucket", error_bucket(label, prediction)).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"), *(F.avg(F.col(f).cast("double")).alias(f"{f}_rate") for f in flags))
+
+
+def first_rows(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], top: int) -> DataFrame:
+    """The first rows of each group, with rank. The planner limits the groups before the shuffle, so `top` rows of each leave a task."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
+
+
+def error_examples(rows: DataFrame, order: Sequence[str], top: int = 30, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """Of the false negatives, false positives and true positives the first `top` rows each, with bucket and rank."""
+    d = rows.withColumn("bucket", error_bucket(label, prediction)).where("bucket is not null")
+    return first_rows(d, ["bucket"], order, top)
+
+
+def other_kind_share(rows: DataFrame, others: Sequence[str], label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """How many false positives there are, and which share of them is a target of some other kind (null if there are none)."""
+    other = F.greatest(*(F.coalesce(F.col(c), F.lit(0)) for c in others)) if len(others) > 1 else F.coalesce(F.col(others[0]), F.lit(0))
+    return rows.where(error_bucket(label, prediction) == "FP").agg(F.count("*").alias("n"), F.avg((other == 1).cast("double")).alias("other_kind_share"))
+
+
+def error_bucket(label: str, prediction: str) -> Column:
+    return F.when((F.col(label) == 1) & (F.col(prediction) == 1), "TP").when(F.col(prediction) == 1, "FP").when(F.col(label) == 1, "FN")
 
 
 def top_names(rows: DataFrame, bucket: Column, name: str, top: int = 10) -> DataFrame:

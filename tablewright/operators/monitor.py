@@ -95,6 +95,24 @@ def chi_square(reference: DataFrame, current: DataFrame, value: str) -> DataFram
     return d.agg(F.sum(F.try_divide(F.pow(F.col("c") - expected, F.lit(2)), expected)).alias("chi_square"), F.nullif(F.count("*") - 1, F.lit(-1)).alias("degrees"))
 
 
+def missing_values(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column_name, and how many values are missing in the reference and in the current sample, with their shares (null of an empty sample)."""
+
+    def one(df: DataFrame, side: str) -> DataFrame:
+        counts = df.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}") for i, c in enumerate(columns)))
+        cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias(f"{side}_missing"), F.try_divide(F.col(f"m{i}"), "n").alias(f"{side}_share")) for i, c in enumerate(columns)]
+        return counts.select(F.inline(F.array(*cells)))
+
+    return one(reference, "reference").join(one(current, "current"), "column_name")
+
+
+def error_counts(requests: DataFrame, by: Sequence[str], failed: Column, kind: str) -> DataFrame:
+    """How many requests of each group failed, by kind of error, and which share of the group's requests that is."""
+    every = requests.groupBy(*by).agg(F.count("*").alias("requests"))
+    d = requests.where(failed).groupBy(*by, kind).agg(F.count("*").alias("errors")).join(every, list(by))
+    return d.withColumn("share", F.col("errors") / F.col("requests"))
+
+
 def drift_summary(distances: DataFrame, threshold: float) -> DataFrame:
     """How many columns drift, and which share of those that have a distance (null if none has). distances: column, distance (null: not measured)."""
     return distances.agg(F.count_if(F.col("distance") >= threshold).alias("drifted_columns_count"), F.try_divide(F.count_if(F.col("distance") >= threshold), F.count("distance")).alias("drifted_columns_share"))

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from tablewright.functions import names
 from tablewright.sources.tables import REF
 
+#: Types with a flag of their own in the normal-form track, where bigint is what others are compared with.
+NF_TYPES = ("date", "double", "integer", "varchar")
 KEY_TYPES = ("boolean", "date", "decimal", "double", "integer", "varchar")
 NEAR_UNIQUE = 0.95
 

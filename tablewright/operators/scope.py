@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions import names
+from tablewright.sources.shared import written
 
 NEEDED = {"table_name", "column_name", "is_unique"}
 
@@ -55,6 +56,7 @@ def add_cross_table_features(df: DataFrame, scope: Sequence[str]) -> DataFrame:
         raise ValueError(f"columns are missing: {sorted(missing)}")
     s = list(scope)
     d = df.withColumn("_t", F.lower("table_name")).withColumn("_c", F.lower("column_name")).withColumn("_stem", names.stem(F.col("column_name"))).withColumn("_own", names.table_variants(F.col("table_name")))
+    d = written(d)  # read several times, where df may be the outcome of scans of whole tables
     by_table = d.groupBy(*s, "_c", "_t").agg(F.max((F.coalesce("is_unique", F.lit(0)) == 1).cast("int")).alias("_unique_here"))
     by_name = by_table.groupBy(*s, "_c").agg(F.count("*").alias("_tables"), F.sum("_unique_here").alias("_unique"))
     found = references(d.select(*s, F.col("_stem").alias("stem")).distinct(), d.select(*s, F.explode("_own").alias("v")).distinct(), s).withColumnRenamed("stem", "_stem")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.operators.evaluation import first_rows
+
 
 def table_documents(columns: DataFrame, table: Sequence[str] = ("database", "schema", "table_name")) -> DataFrame:
     """Column names in ordinal order, and a description, for each table."""
@@ -53,6 +55,19 @@ def topic_keywords(docs: DataFrame, topic: str, terms: Column, top: int = 8) ->
     return d.withColumn("rank", F.row_number().over(Window.partitionBy(topic).orderBy(F.desc("weight"), "term"))).where(F.col("rank") <= top).select(topic, "term", "weight", "rank")
 
 
+def representatives(docs: DataFrame, key: str, topic: str, terms: Column, keywords: DataFrame, top: int = 3) -> DataFrame:
+    """Of each topic the `top` documents whose terms are most of all its keywords, by their weights: topic, key, score, rank.
+
+    The score is the share of a document's terms that are keywords, each times its weight; ties by key. keywords: topic, term, weight. Documents
+    are cut down to counts of keywords before anything is ranked.
+    """
+    tf = docs.select(key, topic, F.explode(terms).alias("term")).groupBy(key, topic, "term").agg(F.count("*").alias("tf"))
+    size = tf.groupBy(key, topic).agg(F.sum("tf").alias("size"))
+    hits = tf.join(keywords.select(topic, "term", "weight"), [topic, "term"]).groupBy(key, topic).agg(F.sum(F.col("tf") * F.col("weight")).alias("hit"))
+    d = hits.join(size, [key, topic]).select(topic, key, F.round(F.col("hit") / F.col("size"), 9).alias("score"))
+    return first_rows(d, [topic], [F.desc("score"), key], top)
+
+
 def label_lookup(keywords: DataFrame, cache: DataFrame, topic: str) -> DataFrame:
     """Each topic's label by its keywords' key; topic_<id> where the cache has none, outlier for topic -1."""
     k = keywords.groupBy(topic).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), "|").alias("keyword_key"))
@@ -77,6 +92,9 @@ def supervised_set(rows: DataFrame, area: str, least: int = 4) -> DataFrame:
 def stratified_split(rows: DataFrame, target: str, identity: Sequence[str], test_share: float = 0.25) -> DataFrame:
     """train or test within each class, by a hash of the row's identity."""
     place = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in identity)).cast("binary"))
-    w = Window.partitionBy(target)
-    d = rows.withColumn("_r", F.row_number().over(w.orderBy(place))).withColumn("_n", F.count("*").over(w))
-    return d.withColumn("split", F.when(F.col("_r") <= F.ceil(F.col("_n") * test_share), "test").otherwise("train")).drop("_r", "_n")
+    d = rows.withColumn("_part", F.substring(place, 1, 3)).withColumn("_place", place)  # no task sorts a class: 4,096 parts by hash, and their sums
+    parts = d.groupBy(target, "_part").agg(F.count("*").alias("_k"))
+    before = Window.partitionBy(target).orderBy("_part")
+    parts = parts.select(F.col(target).alias("_target"), F.col("_part").alias("_at"), (F.sum("_k").over(before) - F.col("_k")).alias("_before"), F.sum("_k").over(Window.partitionBy(target)).alias("_n"))
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy(target, "_part").orderBy("_place"))).join(parts, F.col(target).eqNullSafe(F.col("_target")) & (F.col("_part") == F.col("_at")))
+    return d.withColumn("split", F.when(F.col("_r") + F.col("_before") <= F.ceil(F.col("_n") * test_share), "test").otherwise("train")).drop("_r", "_n", "_before", "_part", "_place", "_target", "_at")

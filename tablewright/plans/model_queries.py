@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import evaluation, training
 from tablewright.sources.ledger import new_ledger
+from tablewright.sources.shared import written
 from tablewright.streaming import feeds, reports
 
 FEATURES = ["n_chars", "n_words", "n_symbols", "n_capitals", "mean_length"]
@@ -23,7 +24,8 @@ def _labelled(spark: SparkSession, sf_dir: str, folds: int = 3) -> DataFrame:
 
 def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 of each candidate on each fold, no source on both sides."""
-    m = training.feature_matrix(_labelled(spark, sf_dir), FEATURES, "quality", ["doc_id", "fold"]).persist()
+    m = training.feature_matrix(_labelled(spark, sf_dir), FEATURES, "quality", ["doc_id", "fold"])
+    m = written(m)
     out = None
     for name, model in training.candidates().items():
         one = training.fold_metrics(training.out_of_fold(m, model, "fold"), "fold").withColumn("candidate", F.lit(name))
@@ -50,7 +52,7 @@ def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.detect_signatures(_labelled(spark, sf_dir).persist(), FEATURES, "quality", "fold")
+    return training.detect_signatures(written(_labelled(spark, sf_dir)), FEATURES, "quality", "fold")
 
 
 def embedding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
