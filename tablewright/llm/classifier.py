@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import SPACES, Kept, Segment, crc32_of_id, distinct, map_rows, mix64, sampled, segments, shingles, ship, spans, word_bounds
+from tablewright.llm.common import SPACES, Kept, Segment, crc32_of_id, distinct, map_rows, mix64, sampled, segments, shingles, ship, spans, trim, word_bounds
 
 BITS = 18
 #: The bounded training sample: labelled rows that are learned from, about so many.
@@ -232,6 +232,9 @@ def accepted(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     def scores(text: pd.Series) -> pd.Series:
         Kept.forget()
         texts = text.tolist()
-        return pd.Series([x for a, b in spans(texts) for x in model.scores(texts[a:b])], dtype="float64")
+        out = pd.Series([x for a, b in spans(texts) for x in model.scores(texts[a:b])], dtype="float64")
+        del texts
+        trim()
+        return out
 
     return docs.where(scores(F.col("text").cast("binary")) >= threshold)

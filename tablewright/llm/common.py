@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -140,6 +142,13 @@ class Kept:
         cls.things.clear()
 
 
+def trim() -> None:
+    """Give memory that is free inside this worker back to the system: workers outlive the stages that they served."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict]], schema: str) -> DataFrame:
     """mapInArrow with columns as Python lists. make() builds a task's function, once in each task; what that returns for a column is
     a list, a numpy array or an Arrow array."""
@@ -158,6 +167,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict]
                 arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=kinds[k]) for k, v in got.items()]
                 if arrays and len(arrays[0]):
                     yield pa.RecordBatch.from_arrays(arrays, names=list(got))
+            del batch
+            got = arrays = part = None
+            trim()
 
     return df.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -59,7 +60,7 @@ def grouped_stratified_folds(rows: DataFrame, group: str, label: str, k: int = 5
     return rows.join(g, group)
 
 
-#: Groups that one task deals; with more, a hash deals the groups to tasks, each of which balances its own.
+#: Groups that one task deals: the largest ones; with more, a hash deals the others to tasks, each of which balances its own.
 DEAL = 10_000
 
 
@@ -67,25 +68,34 @@ def balanced_folds(rows: DataFrame, group: str, label: str, k: int = 5, deal: in
     """A fold for each row, so that no group is in two folds and every class is spread evenly, also where groups are of very different size.
 
     Groups, largest first, go one by one to the fold in which the squares of the folds' shares of each class then grow least, the first of
-    equals. A fold's share of a class differs from 1 / k by no more than the share of the class's largest group, in each deal. Null groups
+    equals. Among the `deal` largest groups a fold's share of a class differs from 1 / k by no more than about the largest group's share of it; all
+    others are smaller than these, and their tasks begin at different folds. Null groups
     and labels are a group and a class. Only a row for each group and class, with its count, leaves the tables.
     """
     c = rows.groupBy(F.col(group).alias("_of"), F.col(label).cast("string").alias("c")).agg(F.count("*").alias("n"))
     totals = {r["c"]: r["n"] for r in c.groupBy("c").agg(F.sum("n").alias("n")).orderBy("c").collect()}  # a row for each class
     groups = c.groupBy("_of").agg(F.collect_list(F.struct("c", "n")).alias("counts"), F.sum("n").alias("size"))
-    tasks = groups.agg(F.greatest(F.ceil(F.count("*") / deal), F.lit(1)).alias("tasks"))
-    groups = groups.crossJoin(F.broadcast(tasks)).withColumn("task", F.pmod(F.xxhash64("_of"), F.col("tasks"))).withColumn("tie", F.md5(F.coalesce(F.col("_of").cast("string"), F.lit("")).cast("binary")))
+    groups = groups.withColumn("tie", F.md5(F.coalesce(F.col("_of").cast("string"), F.lit("")).cast("binary")))
+    n = groups.count()
+    if n <= deal:
+        groups = groups.withColumn("task", F.lit(0).cast("long"))
+    else:
+        edge = groups.orderBy(F.desc("size"), "tie").limit(deal).agg(F.min("size").alias("size")).first()["size"]
+        others = 1 + F.pmod(F.xxhash64("_of"), F.lit(math.ceil(n / deal)))
+        groups = groups.withColumn("task", F.when(F.col("size") > edge, F.lit(0)).otherwise(others).cast("long"))
     place, total = {name: i for i, name in enumerate(totals)}, [float(n) for n in totals.values()]
     kind = rows.schema[group].dataType.simpleString()
 
     def dealt(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "tie"], ascending=[False, True], ignore_index=True)
+        turn = int(pdf["task"][0]) % k
         load, folds = [[0.0] * len(total) for _ in range(k)], []
         for counts in pdf["counts"]:
             mine = [(place[x["c"]], float(x["n"])) for x in counts]
             mine.sort()
             cost = [sum((2 * held[i] + n) * n / (total[i] * total[i]) for i, n in mine) for held in load]
-            fold = cost.index(min(cost))
+            fold = (cost[turn:] + cost[:turn]).index(min(cost))
+            fold = (fold + turn) % k
             for i, n in mine:
                 load[fold][i] += n
             folds.append(fold)
