@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -14,10 +15,11 @@ from pyspark.ml.evaluation import ClusteringEvaluator, Evaluator, MulticlassClas
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators.evaluation import average_precision, binary_metrics, class_weights, split_groups
+from tablewright.operators.evaluation import average_precision, balanced_folds, binary_metrics, class_weights, split_groups
+from tablewright.operators.scope import FEATURES, scope_augmented_variants
 from tablewright.sources.shared import delete, written
 
 
@@ -91,6 +93,101 @@ def text_classifier(text: str, area: str, kind: str = "logistic", min_df: float
     ])
 
 
+def with_margins(model: PipelineModel, df: DataFrame, classes: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """The kept columns and margins, a number for each class, of a linear one-vs-rest model."""
+    raw = F.slice(vector_to_array("rawPrediction"), 1, len(classes))
+    return model.transform(df).select(*keep, raw.alias("margins"))
+
+
+class Calibration:
+    """A logistic curve for each class, from margins of rows that the margins' model had not seen; probabilities are shared out to sum to one."""
+
+    def __init__(self, margins: DataFrame, classes: Sequence[str], area: str) -> None:
+        self.classes, self.curves = list(classes), []
+        for i, c in enumerate(self.classes):
+            one = margins.select(F.array(F.get("margins", F.lit(i))).alias("m"), F.coalesce(F.col(area) == c, F.lit(False)).cast("double").alias("label"))
+            curve = LogisticRegression(regParam=1e-4, maxIter=50).fit(one.select(array_to_vector("m").alias("features"), "label"))
+            self.curves.append((float(curve.coefficients[0]), float(curve.intercept)))
+
+    def apply(self, margins: DataFrame) -> DataFrame:
+        """prediction, probability and probabilities (class to number) in place of margins."""
+        p = [1 / (1 + F.exp(-(F.lit(a) * F.get("margins", F.lit(i)) + F.lit(b)))) for i, (a, b) in enumerate(self.curves)]
+        d = margins.withColumn("_p", F.array(*p)).withColumn("_sum", F.aggregate("_p", F.lit(0.0), lambda s, x: s + x))
+        d = d.withColumn("_p", F.transform("_p", lambda x: F.coalesce(F.try_divide(x, "_sum"), F.lit(1.0 / len(p)))))
+        labels = F.array(*map(F.lit, self.classes))
+        best = F.array_position("_p", F.array_max("_p")).cast("int") - 1
+        return d.withColumns({"prediction": F.get(labels, best), "probability": F.array_max("_p"), "probabilities": F.map_from_arrays(labels, "_p")}).drop("_p", "_sum", "margins")
+
+
+def calibration_error(df: DataFrame, hit: Column, probability: str = "probability", bins: int = 10) -> DataFrame:
+    """The mean gap, weighed by rows, between how sure the predictions of a bin are and how many of them are right. Null without rows."""
+    b = F.least(F.floor(F.col(probability) * bins), F.lit(bins - 1))
+    d = df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(probability).alias("sure"), F.avg(hit.cast("double")).alias("right"))
+    return d.agg(F.try_divide(F.sum(F.col("n") * F.abs(F.col("sure") - F.col("right"))), F.sum("n")).alias("calibration_error"))
+
+
+KINDS = ("logistic", "svm", "bayes")
+
+
+def text_candidates(df: DataFrame, text: str, area: str, fold: str, key: str) -> DataFrame:
+    """Each kind of text classifier by its out-of-fold predictions: candidate, weighted_f1, calibration_error and chosen (the best by
+    weighted F1, the first by name of equals).
+
+    The margins of the support vector machine are calibrated fold by fold, by the curves of the other folds. Rows without text or area are
+    passed over; `fold` holds a few numbers, in each of which all areas should be.
+    """
+    d = written(df.where(F.col(text).isNotNull() & F.col(area).isNotNull()).select(key, text, area, fold))
+    folds, got = sorted(r[0] for r in d.select(fold).distinct().collect()), {k: [] for k in KINDS}
+    for k in folds:
+        train, rest = d.where(F.col(fold) != k), d.where(F.col(fold) == k)
+        for kind in KINDS:
+            model = text_classifier(text, area, kind).fit(train)
+            classes = [*model.stages[4].labels]
+            if kind == "svm":
+                got[kind].append((k, classes, written(with_margins(model, rest, classes, [key, area]))))
+            else:
+                got[kind].append(scored(model, rest, [*classes, "unknown"], [key, area]).drop("probabilities"))
+    margins, got["svm"] = got["svm"], []
+    for k, classes, own in margins:
+        others = [m.where(F.lit(True)) for j, c, m in margins if j != k and c == classes] or [own]
+        curve = Calibration(_all(others), classes, area)
+        got["svm"].append(curve.apply(own).drop("probabilities"))
+    rows = []
+    for kind in KINDS:
+        d_kind = _all(got[kind])
+        f1 = weighted_multiclass_f1(d_kind, area)
+        error = calibration_error(d_kind, F.col("prediction") == F.col(area)).first()["calibration_error"]
+        rows.append((kind, f1, error))
+    best = max(rows, key=lambda r: (r[1], [-ord(c) for c in r[0]]))[0] if rows else None
+    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "candidate string, weighted_f1 double, calibration_error double, chosen boolean")
+
+
+def _all(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def weighted_multiclass_f1(df: DataFrame, label: str, prediction: str = "prediction") -> float:
+    """F1 of each class, weighed by its rows; 0 without rows."""
+    real = df.groupBy(F.col(label).alias("c")).agg(F.count("*").alias("support"), F.count_if(F.col(prediction) == F.col(label)).alias("tp"))
+    said = df.groupBy(F.col(prediction).alias("c")).agg(F.count("*").alias("said"))
+    d = real.join(said, "c", "left").select("support", (2 * F.col("tp") / (F.col("support") + F.coalesce("said", F.lit(0)))).alias("f1"))
+    return float(d.agg(F.coalesce(F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")), F.lit(0.0))).first()[0])
+
+
+def scope_width_scores(columns: DataFrame, features: Sequence[str], label: str, widths: Sequence[int | None] = (1, 5, None), k: int = 5, estimator=None) -> DataFrame:
+    """F1 of each scope width and fold, from one out-of-fold run over the rows of all widths.
+
+    columns: database, table_name, column_name, is_unique, the label (0 or 1) and further features. Folds are dealt by database before the rows
+    are augmented, so all copies of a database's rows are in one fold, and no model sees a database that it is scored on. The seven
+    cross-table features are those of the row's own width.
+    """
+    folds = balanced_folds(columns, "database", label, k).select("database", "fold").distinct()
+    wide = scope_augmented_variants(columns, widths).join(folds, "database")
+    m = written(feature_matrix(wide, [*features, *FEATURES], label, ["scope_width", "fold", "database"]))
+    got = out_of_fold(m, estimator or candidates()["forest"], "fold").select("scope_width", "fold", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+    return binary_metrics(got, ("scope_width", "fold"), "label", "prediction", "score")
+
+
 def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
     return Normalizer(inputCol="_v", outputCol="unit").transform(df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))).drop("_v")
 

@@ -100,7 +100,14 @@ def streamed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.rolling_reports(s, new_ledger(spark)).withColumnRenamed("track", "event_type").withColumn("mean_value", F.round("mean_value", 6))
 
 
-QUERIES = {f.__name__: f for f in (out_of_fold_scores, random_search, class_scores, signature_report, embedding_clusters, letter_clusters, letter_cluster_quality, cluster_quality, streamed_rate, streamed_reports)}
+def text_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three kinds of text classifier for the documents' languages, by weighted F1 and calibration over folds; the chosen one marked."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int"))
+    out = training.text_candidates(docs, "text", "lang", "fold", "doc_id")
+    return out.withColumns({c: F.round(c, 6) for c in ("weighted_f1", "calibration_error")})
+
+
+QUERIES = {f.__name__: f for f in (text_candidates, out_of_fold_scores, random_search, class_scores, signature_report, embedding_clusters, letter_clusters, letter_cluster_quality, cluster_quality, streamed_rate, streamed_reports)}
 
 _UNIT = "u AS (SELECT * REPLACE (list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v) FROM w WHERE list_inner_product(v, v) > 0)"
 _EMBEDDINGS = f"w AS (SELECT vec_id AS k, label, embedding::DOUBLE[] AS v FROM embeddings), {_UNIT}"
