@@ -12,7 +12,7 @@ def test_names_agree():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
-@pytest.mark.parametrize("name", ["fds_customer_nation", "claim_cycle", "soft_vote", "rolling_window", "ctfidf_topics", "dq_consistency"])
+@pytest.mark.parametrize("name", ["fds_customer_nation", "claim_cycle", "error_examples", "latency_sketches", "soft_vote", "rolling_window", "ctfidf_topics", "dq_consistency"])
 def test_against_sql(spark, name):
     import duckdb
 
