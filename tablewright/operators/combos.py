@@ -26,7 +26,7 @@ def md5_slot(columns: Sequence[str], slots: int) -> Column:
 
 def sample_rows(df: DataFrame, rows: int, portable: Sequence[str] | None = None) -> DataFrame:
     """The whole table up to SAMPLE_ABOVE rows, else about SAMPLE_ROWS of them by a hash of the row: the same rows for every
-    query, so that counts on them are comparable. A sample can invent a key or dependency, never lose one."""
+    query, so that counts on them are comparable. A sample can invent a key or dependency: searches for these count whole tables."""
     if rows <= SAMPLE_ABOVE:
         return df
     slots = math.ceil(rows / SAMPLE_ROWS)

@@ -65,9 +65,9 @@ def sampled_pairs_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(combos.pair_matrix(combos.sample_rows(li, li.count(), key).select(*key, "returnflag", "linestatus"), "lineitem"))
 
 
-def _uccs(df: DataFrame, table: str, portable: list[str] | None = None) -> DataFrame:
-    stats, pairs, sample = dependencies.table_statistics(df, table, portable=portable)
-    return dependencies.find_uccs(stats, pairs, lambda c: combos.combo_distinct(sample, c, table))
+def _uccs(df: DataFrame, table: str) -> DataFrame:
+    stats, pairs, _ = dependencies.table_statistics(df, table)
+    return dependencies.find_uccs(stats, pairs, lambda c: combos.combo_distinct(df, c, table))
 
 
 def uccs_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,15 +106,16 @@ def near_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_fds_handling_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats, pairs, sample = dependencies.table_statistics(_handling(spark, sf_dir), "handling")
-    found = dependencies.find_pair_dependencies(dependencies.pair_fd_candidates(stats, pairs), lambda c: combos.combo_distinct(sample, c, "handling"))
+    df = _handling(spark, sf_dir)
+    stats, pairs, _ = dependencies.table_statistics(df, "handling")
+    found = dependencies.find_pair_dependencies(dependencies.pair_fd_candidates(stats, pairs), lambda c: combos.combo_distinct(df, c, "handling"))
     return found.withColumn("lhs", F.array_join("lhs", ","))
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _customer_nation(spark, sf_dir)
-    stats, pairs, sample = dependencies.table_statistics(df, "customer_nation")
-    keys = dependencies.structural_keys(dependencies.find_uccs(stats, pairs, lambda c: combos.combo_distinct(sample, c, "customer_nation")))
+    stats, pairs, _ = dependencies.table_statistics(df, "customer_nation")
+    keys = dependencies.structural_keys(dependencies.find_uccs(stats, pairs, lambda c: combos.combo_distinct(df, c, "customer_nation")))
     fds = dependencies.find_dependencies(stats, pairs).withColumn("lhs", F.array("lhs"))
     return dependencies.classify_dependencies(fds, keys)
 

@@ -26,7 +26,7 @@ def normal_form_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normal_form_features_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature frame of orders with a code that two columns determine together; of a sample where there are many."""
+    """The feature frame of orders with a code that two columns determine together."""
     return _rounded(features.build_features(_handling(spark, sf_dir), "handling"))
 
 
