@@ -183,6 +183,7 @@ def ragged(parts: list[np.ndarray], lengths: np.ndarray) -> pa.ListArray:
 KINDS = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
     "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary()),
+    "array<double>": pa.list_(pa.float64()),
 }
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.common import map_rows
 from tablewright.operators import evaluation, training
 from tablewright.sources.ledger import new_ledger
 from tablewright.sources.shared import written
@@ -63,10 +65,15 @@ def embedding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a letter, as unit vectors of how often each of a to z is in them."""
-    t = F.lower("text")
-    counts = F.array(*((F.length(t) - F.length(F.replace(t, F.lit(chr(c)), F.lit("")))).cast("double") for c in range(97, 123)))
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", counts.alias("letters"))
-    return training.unit_vectors(d.where(F.exists("letters", lambda x: x > 0)), "letters").select("doc_id", "unit")
+    def counter():
+        def count(text: bytes) -> list[float]:
+            return np.bincount(np.frombuffer(text, np.uint8), minlength=123)[97:123].astype(float).tolist()
+
+        return lambda rows: {"doc_id": rows["doc_id"], "letters": [count(t) for t in rows["text"]]}
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower("text").alias("text"))
+    d = d.where(F.col("text").rlike("[a-z]")).withColumn("text", F.col("text").cast("binary"))
+    return training.unit_vectors(map_rows(d, counter, "doc_id long, letters array<double>"), "letters").select("doc_id", "unit")
 
 
 def letter_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
