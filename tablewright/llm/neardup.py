@@ -9,7 +9,7 @@ of similarity 0.75 or more whose signatures happen to differ more meet in one wi
 Buckets are not expanded into pairs. Each member is compared with the bucket's smallest id; a bucket of n > SPLIT members is first
 dealt by a hash into about sqrt(n) parts, whose smallest ids are compared with the bucket's, so that no id meets more than about
 sqrt(n) others. Once these links have formed groups, only members outside the group of their bucket's smallest id are compared with
-other members of its buckets, those whose longer sketches are near. So a bucket of n near copies costs n comparisons.
+other members of its buckets (and with that id, if the bucket was dealt into parts), those whose longer sketches are near. So a bucket of n near copies costs n comparisons.
 
 A pair that meets in a bucket is given up, before its full sets are compared, only if its signatures or sketches are further apart than
 FURTHEST, FURTHEST_QUARTER or FURTHEST_BITS: limits more than 4.7 deviations above what similarity 0.75 has. With the missed
@@ -152,7 +152,8 @@ def sketches(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def across(stars: DataFrame, groups: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Pairs that may link different groups: a member outside the group of its bucket's hub, and another member of that hub.
+    """Pairs that may link different groups: a member outside the group of its bucket's hub, and another member of that hub. A hub is a
+    member of its own where members may not have met it.
 
     Each pair comes once, at the smallest hub that both have, and only if their sketches are within FURTHEST_BITS: the join's own
     condition, so that far pairs are never rows. The members of a hub are dealt to several places, to each of which its outsiders go.
@@ -213,7 +214,8 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> tuple[DataFra
     groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # members outside the group of their bucket's hub, against the other members of that hub's buckets
-    stars = stash(members.where("hub <> rep").select("hub", "rep").distinct())
+    # first_pairs() compares those of a large bucket with their part's head alone, so there the hub itself is among the others
+    stars = stash(members.where(f"hub <> rep or n > {SPLIT}").select("hub", "rep").distinct())
     more = confirmed(across(stars, groups, docs, words), docs, words, percent)
     if not more.isEmpty():
         unstash(groups)
