@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.evaluation import first_rows
+from tablewright.sources.shared import written
 
 
 def table_documents(columns: DataFrame, table: Sequence[str] = ("database", "schema", "table_name")) -> DataFrame:
@@ -35,14 +36,16 @@ def char_ngrams(text: Column, sizes: Sequence[int] = (3, 4, 5)) -> Column:
 def tf_idf(docs: DataFrame, key: str, terms: Column, min_df: int = 1) -> DataFrame:
     """(key, term, weight): sublinear counts times smoothed inverse document frequency, to unit length.
 
-    Terms are counted for each document before any join; a term in fewer than min_df documents is no feature.
+    Terms are counted for each document before any join; a term in fewer than min_df documents is no feature. The documents' texts are
+    shuffled once, by key, and counted there. Document frequencies are written, so that their size decides how they are joined: while they
+    can be broadcast, no row of a document and term is ever shuffled, else each is twice.
     """
-    tf = docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    tf = docs.repartition(key).select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    df = written(tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df))
     n = F.broadcast(docs.agg(F.count("*").alias("n")))
     w = tf.join(df, "term").join(n).withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return w.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def topic_keywords(docs: DataFrame, topic: str, terms: Column, top: int = 8) -> DataFrame:
