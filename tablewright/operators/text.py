@@ -61,14 +61,15 @@ def topic_keywords(docs: DataFrame, topic: str, terms: Column, top: int = 8) ->
 def representatives(docs: DataFrame, key: str, topic: str, terms: Column, keywords: DataFrame, top: int = 3) -> DataFrame:
     """Of each topic the `top` documents whose terms are most of all its keywords, by their weights: topic, key, score, rank.
 
-    The score is the share of a document's terms that are keywords, each times its weight; ties by key. keywords: topic, term, weight. Documents
-    are cut down to counts of keywords before anything is ranked.
+    The score is the share of a document's terms that are keywords, each times its weight; ties by key. keywords: topic, term, weight. They are
+    written, a few rows a topic, so that their size decides how they are joined. A task cuts its documents down to counts of their keywords, and
+    of all other terms together, before anything is shuffled.
     """
-    tf = docs.select(key, topic, F.explode(terms).alias("term")).groupBy(key, topic, "term").agg(F.count("*").alias("tf"))
-    size = tf.groupBy(key, topic).agg(F.sum("tf").alias("size"))
-    hits = tf.join(keywords.select(topic, "term", "weight"), [topic, "term"]).groupBy(key, topic).agg(F.sum(F.col("tf") * F.col("weight")).alias("hit"))
-    d = hits.join(size, [key, topic]).select(topic, key, F.round(F.col("hit") / F.col("size"), 9).alias("score"))
-    return first_rows(d, [topic], [F.desc("score"), key], top)
+    known = written(keywords.select(topic, "term", "weight"))
+    found = docs.where(F.col(key).isNotNull()).select(key, topic, F.explode(terms).alias("term")).join(known, [topic, "term"], "left")
+    tf = found.groupBy(key, topic, F.when(F.col("weight").isNotNull(), F.col("term")).alias("term"), "weight").agg(F.count("*").alias("tf"))
+    d = tf.groupBy(key, topic).agg(F.sum("tf").alias("size"), F.sum(F.col("tf") * F.col("weight")).alias("hit")).where("hit is not null")
+    return first_rows(d.select(topic, key, F.round(F.col("hit") / F.col("size"), 9).alias("score")), [topic], [F.desc("score"), key], top)
 
 
 def label_lookup(keywords: DataFrame, cache: DataFrame, topic: str) -> DataFrame:

@@ -29,3 +29,10 @@ def test_tf_idf_shuffles_texts_alone(spark):
     raw = {(k, w): (1 + math.log(n)) * (math.log((1 + len(ROWS)) / (1 + df[w])) + 1) for (k, w), n in counts.items() if df[w] >= 2}
     norm = {k: math.sqrt(sum(v * v for (j, _), v in raw.items() if j == k)) for k, _ in raw}
     assert {(r.k, r.term): round(r.weight, 9) for r in got.collect()} == {x: round(v / norm[x[0]], 9) for x, v in raw.items()}
+
+
+def test_representatives_take_texts_once(spark):
+    keywords = spark.createDataFrame([("x", "a", 0.5), ("x", "c", 0.25), ("y", "d", 1.0)], "topic string, term string, weight double")
+    got = text.representatives(_docs(spark), "k", "topic", text.words(F.col("body")), keywords)
+    assert _plan(got).split("Initial Plan")[0].count("Generate explode") == 1
+    assert sorted(tuple(r) for r in got.collect()) == [("x", 1, 0.333333333, 1), ("x", 2, 0.25, 2), ("y", 3, 0.666666667, 1)]
