@@ -80,7 +80,10 @@ FEATURES = ["n_other_tables_with_same_column_name", "name_unique_in_other_table"
 
 
 def scope_augmented_variants(df: DataFrame, widths: Sequence[int | None] = (1, 5, None), database: str = "database") -> DataFrame:
-    """The rows once for each scope width, with features from scopes of that many databases (None: all in one)."""
+    """The rows once for each scope width, with features from scopes of that many databases (None: all in one).
+
+    df may be the outcome of scans of whole tables: it is computed once for all widths."""
+    df = written(df)
     codes = df.select(database).distinct().withColumn("_code", F.row_number().over(Window.orderBy(database)) - 1)
     d, out = df.join(codes, database), None
     for width in widths:

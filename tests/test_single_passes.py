@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tablewright.operators import text
+from tablewright.operators import scope, text
 
 ROWS = [(1, "x", "a a b"), (2, "x", "b c"), (2, "x", "c c a"), (3, "y", "a d d"), (4, "y", "zz"), (5, None, "a b"), (None, "y", "d"), (6, "y", None)]
 
@@ -36,3 +36,18 @@ def test_representatives_take_texts_once(spark):
     got = text.representatives(_docs(spark), "k", "topic", text.words(F.col("body")), keywords)
     assert _plan(got).split("Initial Plan")[0].count("Generate explode") == 1
     assert sorted(tuple(r) for r in got.collect()) == [("x", 1, 0.333333333, 1), ("x", 2, 0.25, 2), ("y", 3, 0.666666667, 1)]
+
+
+def test_widths_read_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(d, "s", t, "customer_id", int(t == "customer")) for d in ("d1", "d2") for t in ("customer", "orders")]
+    schema = "database string, schema string, table_name string, column_name string, is_unique int"
+    df = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    got = scope.scope_augmented_variants(df).collect()
+    assert seen.value == len(rows) and len(got) == 3 * len(rows)
