@@ -2,10 +2,12 @@
 
 The token streams of a host's pages are laid end to end. Their suffixes, sorted by the first RUN tokens, bring equal substrings together: one
 that several distinct pages hold is boilerplate, and a longer repeat is the union of such substrings, so that nothing more need be sorted.
+A large host has a suffix array for each of its chunks, whose counts are added up; what comes out doesn't depend on the chunks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -15,14 +17,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import map_rows, segments, ship, stash
+from tablewright.llm.common import map_rows, segments, shingles, ship, stash, trim
 
 #: Pages, and bytes, of a host whose streams make one suffix array, about; hosts with more are dealt to several by a hash.
 CHUNK_PAGES, CHUNK_BYTES = 500, 16 << 20
-#: Tokens of the shortest repeated substring (a power of two), and the share of a chunk's distinct pages that hold boilerplate (two at least).
+#: Tokens of the shortest repeated substring (a power of two), and the share of a host's distinct pages that hold boilerplate (two at least).
 RUN, SHARE = 8, 0.01
 
 # --- markup -----------------------------------------------------------------------------------------------------------
@@ -163,45 +165,96 @@ def suffix_ranks(tokens: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def covered(tokens: np.ndarray, lengths: np.ndarray, run: int = RUN, share: float = SHARE) -> np.ndarray:
-    """Which tokens lie in a substring of `run` tokens that at least two, and at least this share, of the streams hold.
+def starts(lengths: np.ndarray, run: int) -> np.ndarray:
+    """Where substrings of `run` tokens start that don't cross streams of these lengths, laid end to end."""
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    return np.flatnonzero(np.arange(len(ends)) + run <= ends)
+
+
+def holders(tokens: np.ndarray, lengths: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array, cut to suffixes of `run` tokens at least: where they start, which interval of equal substrings each is in, and how
+    many of the streams hold the substring of each interval.
 
     tokens: streams of `lengths` tokens, one after another; substrings don't cross streams.
     """
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    starts = np.flatnonzero(np.arange(len(tokens)) + run <= ends)
-    if not len(starts):
-        return np.zeros(len(tokens), bool)
+    at = starts(lengths, run)
+    if not len(at):
+        return at, at, at
     stream = np.repeat(np.arange(len(lengths)), lengths)
-    rank = suffix_ranks(tokens, run)[starts]
-    order = np.argsort(rank, kind="stable")  # the suffix array: equal prefixes together, by stream within
-    rank, owner = rank[order], stream[starts[order]]
+    rank = suffix_ranks(tokens, run)[at]
+    order = np.argsort(rank, kind="stable")  # equal prefixes together, by stream within
+    rank, at = rank[order], at[order]
+    owner = stream[at]
     first = np.concatenate(([True], rank[1:] != rank[:-1]))
     other = first | np.concatenate(([True], owner[1:] != owner[:-1]))
     interval = np.cumsum(first) - 1
-    holders = np.bincount(interval, weights=other)
-    hit = starts[order[holders[interval] >= max(2, share * len(lengths))]]
-    edge = np.zeros(len(tokens) + 1, np.int64)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + run, -1)
+    return at, interval, np.bincount(interval, weights=other).astype(np.int64)
+
+
+def cover(n: int, at: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Which of n tokens lie in one of the substrings of `run` tokens that start there."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + run, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def main_texts(pages: list[list[tuple[int, str]]]) -> list[tuple[str, int]]:
+def covered(tokens: np.ndarray, lengths: np.ndarray, run: int = RUN, share: float = SHARE) -> np.ndarray:
+    """Which tokens lie in a substring of `run` tokens that at least two, and at least this share, of the streams hold."""
+    at, interval, held = holders(tokens, lengths, run)
+    return cover(len(tokens), at[held[interval] >= max(2, share * len(lengths))] if len(at) else at, run)
+
+
+def listed(hashes: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which hashes are among these sorted ones."""
+    if not len(among):
+        return np.zeros(len(hashes), bool)
+    return among[np.minimum(np.searchsorted(among, hashes), len(among) - 1)] == hashes
+
+
+def stream_of(blocks: list) -> bytes:
+    return " ".join(t for _, t in blocks).encode()
+
+
+def tokens_of(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of streams, one stream after another, and the streams' lengths."""
+    hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for seg in segments(streams):
+        hashes.append(seg.hashes)
+        counts.append(seg.counts)
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
+def counted(streams: list[bytes], more_than: int = 0, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the RUN-token substrings that more than so many of the distinct streams hold (and that are among these sorted ones),
+    and how many hold each."""
+    tokens, lengths = tokens_of(streams)
+    at, interval, held = holders(tokens, lengths)
+    if not len(at):
+        return np.empty(0, np.uint64), at
+    runs = shingles(tokens, RUN)[at[np.flatnonzero(np.diff(interval, prepend=-1))]]
+    keep = held > more_than
+    if among is not None:
+        keep &= listed(runs, among)
+    return runs[keep], held[keep]
+
+
+def main_texts(pages: list[list[tuple[int, str]]], known: np.ndarray | None = None) -> list[tuple[str, int]]:
     """Of pages of one host, as blocks, the text that stays and the number of tokens in repeated runs.
 
-    Pages of equal text count as one. Repeated runs are found among all text, whatever its markup. Undecided blocks that they cover for half or
+    Pages of equal text count as one. Repeated runs are found among all text, whatever its markup; `known` has the sorted hashes of the host's
+    substrings of RUN tokens that are repeated, where these are but some of its pages. Undecided blocks that runs cover for half or
     more go. What the markup says for certain comes after: blocks of an article stay, whatever they share with other pages, and
     blocks that are out go, whether they are unique or not; where a page has an article, nothing else of it stays.
     """
-    streams = [" ".join(t for _, t in blocks).encode() for blocks in pages]
+    streams = [stream_of(blocks) for blocks in pages]
     kinds = {s: None for s in streams}
-    hashes, counts = [], []
-    for seg in segments(list(kinds)):
-        hashes.append(seg.hashes)
-        counts.append(seg.counts)
-    lengths = np.concatenate(counts) if counts else np.empty(0, np.int64)
-    hits = covered(np.concatenate(hashes) if hashes else np.empty(0, np.uint64), lengths)
+    tokens, lengths = tokens_of(list(kinds))
+    if known is None:
+        hits = covered(tokens, lengths)
+    else:
+        at = starts(lengths, RUN)
+        hits = cover(len(tokens), at[listed(shingles(tokens, RUN)[at], known)] if len(at) else at)
     for s, at, n in zip(kinds, np.cumsum(lengths) - lengths, lengths, strict=True):
         kinds[s] = hits[at : at + n]
     out = []
@@ -230,13 +283,18 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def unzipped(unzip: zstandard.ZstdDecompressor, blocks: bytes | None) -> list:
+    return json.loads(unzip.decompress(blocks)) if blocks else []
+
+
 def main_text(pages: DataFrame, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
     """The main text of every page, whole.
 
     pages: page_id, url, html; other columns, whatever their names, are not read. Null and empty html have no text; null page_ids and urls pass
-    through, pages without a host make a host of their own; one row out for each row in. Runs are looked for among the pages of a
-    host, of a large host among those of a chunk of about `chunk_pages` pages, which a hash picks: text on SHARE of a host's pages is on
-    about as many of a chunk's. Returns page_id, url, text, n_chars (code points) and n_repeated (words in runs that pages share).
+    through, pages without a host make a host of their own; one row out for each row in. Runs are looked for among all pages of a
+    host. A large host is dealt to chunks of about `chunk_pages` pages by a hash; this says how the work is cut, not what comes out: substrings that
+    a chunk holds too seldom are counted nowhere only if they can't reach SHARE of the host's distinct pages, all others in every
+    chunk. Returns page_id, url, text, n_chars (code points) and n_repeated (words in runs that pages share).
     """
     d = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     sizes = d.groupBy("host").agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes"))
@@ -247,36 +305,106 @@ def main_text(pages: DataFrame, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
         zipper = zstandard.ZstdCompressor(level=1)
 
         def fn(rows: dict[str, list]) -> dict:
-            source = rows.pop("html")
-            return rows | {"blocks": [zipper.compress(json.dumps(Page(s).blocks, ensure_ascii=False).encode()) if s else None for s in source]}
+            parsed = [Page(s).blocks if s else [] for s in rows.pop("html")]
+            digests = [hashlib.blake2b(stream_of(b), digest_size=16).digest() for b in parsed]
+            return rows | {"digest": digests, "blocks": [zipper.compress(json.dumps(b, ensure_ascii=False).encode()) if b else None for b in parsed]}
 
         return fn
 
-    parsed = map_rows(d, parser, "page_id long, url string, host string, blocks binary")
-    number = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("chunks", F.lit(1)).cast("long"))
-    dealt = parsed.join(large, "host", "left").select("page_id", "url", "blocks", "host", number.alias("chunk"))
+    parsed = map_rows(d, parser, "page_id long, url string, host string, digest binary, blocks binary")
+    chunks = F.coalesce("chunks", F.lit(1)).cast("long")
+    dealt = parsed.join(large, "host", "left").select("page_id", "url", "digest", "blocks", "host", chunks.alias("chunks"), F.pmod(F.xxhash64("page_id", "url", "digest"), chunks).alias("chunk"))
+    # Every step below reads the rows as this one shuffle deals them. Equal streams are neighbours.
+    rows = dealt.withColumn("row", F.row_number().over(Window.partitionBy("host", "chunk").orderBy("digest")))
+
+    def told(news: DataFrame) -> DataFrame:
+        """rows, the first of each chunk with what a row of news (host, chunk, ...) says of it."""
+        names = [c for c in news.columns if c not in ("host", "chunk")]
+        return rows.join(news, ["host", "chunk"], "left").select(*rows.columns, *(F.when(F.col("row") == 1, F.col(c)).alias(c) for c in names))
+
+    # 1. Of copies in several chunks of a host, those in the chunk of the smallest number count.
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            out = []
+            for h, c, n, digest in zip(*(batch.column(k).to_pylist() for k in ("host", "chunk", "chunks", "digest")), strict=True):
+                if n > 1 and (h, c, digest) != last:
+                    last = h, c, digest
+                    out.append(last)
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["host", "chunk", "digest"])
+
+    copies = rows.mapInArrow(digests, "host string, chunk long, digest binary").withColumn("counts", F.col("chunk") == F.min("chunk").over(Window.partitionBy("host", "digest")))
+    held = copies.groupBy("host", "chunk").agg(F.count_if("counts").alias("streams"), F.collect_list(F.when(~F.col("counts"), F.col("digest"))).alias("elsewhere"))
+    # A substring that no chunk holds more than `most` times is held fewer than `least` times in all.
+    held = held.withColumn("most", F.floor(0.999 * SHARE * F.col("streams")))
+    whole = held.groupBy("host").agg(F.sum("streams").alias("streams"), F.sum("most").alias("most"))
+    whole = whole.select("host", F.greatest(F.lit(2.0), SHARE * F.col("streams")).alias("least"), F.col("most").alias("unseen"))
+    about = held.join(whole, "host").select("host", "chunk", "elsewhere", "most", "least", "unseen")
+
+    # 2., 3. Counts of substrings by chunk, as far above `most` as they are; then those of all that can reach `least`.
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip, key, last, streams, news = zstandard.ZstdDecompressor(), None, None, [], {}
+
+        def done() -> pa.RecordBatch:
+            among = news.get("among")
+            if among is None:
+                runs, n = counted(streams, news["most"])
+                n = n - news["most"]
+            else:
+                runs, n = counted(streams, 0, np.sort(np.array(among, np.int64).view(np.uint64)))
+            least = news["least"] - (news["unseen"] if among is None else 0)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]] * len(runs), pa.string()), pa.array(runs.view(np.int64)), pa.array(n, pa.int64()), pa.array(np.full(len(runs), least))], names=["host", "run", "n", "least"]
+            )
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["host"], r["chunk"]) != key:
+                    if streams:
+                        yield done()
+                    key, last, streams, news = (r["host"], r["chunk"]), None, [], r
+                    skipped = set(r["elsewhere"] or ())
+                # Hosts of one chunk are told nothing, nor are, the second time, those where nothing can reach `least`.
+                if news["least"] is not None and r["digest"] != last and r["digest"] not in skipped:
+                    streams.append(stream_of(unzipped(unzip, r["blocks"])))
+                last = r["digest"]
+            trim()
+        if streams:
+            yield done()
+
+    kind = "host string, run long, n long, least double"
+
+    def reaching(found: DataFrame) -> DataFrame:
+        runs = found.groupBy("host", "run").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least")
+        return runs.groupBy("host").agg(F.collect_list("run").alias("among"))
+
     ship(pages.sparkSession)
+    possible = reaching(told(about.withColumn("among", F.lit(None).cast("array<long>"))).mapInArrow(counts, kind))
+    repeated = reaching(told(about.join(possible, "host")).mapInArrow(counts, kind))
 
+    # 4. The texts, by the host's repeated substrings; a host of one chunk is counted here.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip, key, held, size = zstandard.ZstdDecompressor(), None, [], 0
+        unzip, key, known, kept, size = zstandard.ZstdDecompressor(), None, None, [], 0
 
         def done() -> pa.RecordBatch:
-            texts = main_texts([blocks for _, _, blocks in held])
+            texts = main_texts([blocks for _, _, blocks in kept], known)
             return pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _, _ in held], pa.int64()), pa.array([u for _, u, _ in held], pa.string()), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())],
+                [pa.array([i for i, _, _ in kept], pa.int64()), pa.array([u for _, u, _ in kept], pa.string()), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars", "n_repeated"],
             )
 
         for batch in batches:
-            for page_id, url, blocks, *now in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (now != key or size > 4 * CHUNK_BYTES):  # only rows that repeat the same id can make a chunk so long
+            for r in batch.to_pylist():
+                now = r["host"], r["chunk"]
+                if kept and (now != key or (known is not None and size > CHUNK_BYTES)):
                     yield done()
-                    held, size = [], 0
-                key, opened = now, unzip.decompress(blocks) if blocks else b"[]"
-                held.append((page_id, url, [tuple(b) for b in json.loads(opened)]))
-                size += len(opened)
-        if held:
+                    kept, size = [], 0
+                if now != key:
+                    key, known = now, np.sort(np.array(r["among"] or [], np.int64).view(np.uint64)) if r["chunks"] > 1 else None
+                blocks = [tuple(b) for b in unzipped(unzip, r["blocks"])]
+                kept.append((r["page_id"], r["url"], blocks))
+                size += sum(len(t) for _, t in blocks) + 100
+        if kept:
             yield done()
 
-    ordered = dealt.repartition("host", "chunk").sortWithinPartitions("host", "chunk")
-    return ordered.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_repeated long")
+    return told(held.select("host", "chunk").join(repeated, "host")).mapInArrow(run, "page_id long, url string, text string, n_chars long, n_repeated long")
