@@ -314,13 +314,14 @@ def main_text(pages: DataFrame, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
     parsed = map_rows(d, parser, "page_id long, url string, host string, digest binary, blocks binary")
     chunks = F.coalesce("chunks", F.lit(1)).cast("long")
     dealt = parsed.join(large, "host", "left").select("page_id", "url", "digest", "blocks", "host", chunks.alias("chunks"), F.pmod(F.xxhash64("page_id", "url", "digest"), chunks).alias("chunk"))
-    # Every step below reads the rows as this one shuffle deals them. Equal streams are neighbours.
+    # Every step below reads the rows as one shuffle by host and chunk deals them; Spark makes it once. Equal streams are neighbours.
     rows = dealt.withColumn("row", F.row_number().over(Window.partitionBy("host", "chunk").orderBy("digest")))
 
     def told(news: DataFrame) -> DataFrame:
         """rows, the first of each chunk with what a row of news (host, chunk, ...) says of it."""
         names = [c for c in news.columns if c not in ("host", "chunk")]
-        return rows.join(news, ["host", "chunk"], "left").select(*rows.columns, *(F.when(F.col("row") == 1, F.col(c)).alias(c) for c in names))
+        joined = rows.join(news, ["host", "chunk"], "left").select(*rows.columns, *(F.when(F.col("row") == 1, F.col(c)).alias(c) for c in names))
+        return joined.sortWithinPartitions("host", "chunk", "row")  # whatever kind of join it was
 
     # 1. Of copies in several chunks of a host, those in the chunk of the smallest number count.
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +334,7 @@ def main_text(pages: DataFrame, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
                     out.append(last)
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["host", "chunk", "digest"])
 
-    copies = rows.mapInArrow(digests, "host string, chunk long, digest binary").withColumn("counts", F.col("chunk") == F.min("chunk").over(Window.partitionBy("host", "digest")))
+    copies = rows.sortWithinPartitions("host", "chunk", "row").mapInArrow(digests, "host string, chunk long, digest binary").withColumn("counts", F.col("chunk") == F.min("chunk").over(Window.partitionBy("host", "digest")))
     held = copies.groupBy("host", "chunk").agg(F.count_if("counts").alias("streams"), F.collect_list(F.when(~F.col("counts"), F.col("digest"))).alias("elsewhere"))
     # A substring that no chunk holds more than `most` times is held fewer than `least` times in all.
     held = held.withColumn("most", F.floor(0.999 * SHARE * F.col("streams")))
