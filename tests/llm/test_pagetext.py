@@ -154,6 +154,21 @@ def test_chunks_of_a_host_change_nothing(spark):
         assert got == {r[0]: w for r, w in zip(rows, want, strict=True)}
 
 
+def test_counts_below_a_chunks_bound_add_up(spark):
+    rng = random.Random(9)
+    held = [5, 12, 13, 14, 15, 16, 17, 30]  # 15 of the 1,500 pages are 1 %; chunks of 300 report what more than two of theirs hold
+    rare, lines = [sentence(rng, 12) for _ in held], {}
+    for line, n in zip(rare, held, strict=True):
+        for page in rng.sample(range(1500), n):
+            lines.setdefault(page, []).append(line)
+    sources = ["".join(f"<p>{p}" for p in [sentence(rng, 10), *lines.get(i, ())]) for i in range(1500)]
+    df = spark.createDataFrame([(i, "http://large.example/", s) for i, s in enumerate(sources)], "page_id long, url string, html string")
+    want = pagetext.main_texts([pagetext.Page(s).blocks for s in sources])
+    assert [any(line in t for t, _ in want) for line in rare] == [n < 15 for n in held]
+    got = {r.page_id: (r.text, r.n_repeated) for r in pagetext.main_text(df, 300).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_articles_keep_what_pages_share():
     shared = " ".join(f"w{i}" for i in range(30))
     pages = [f"<nav>{shared}</nav><article><p>unique {i}<p>{shared}</article><div>{shared}</div>" for i in range(30)]
