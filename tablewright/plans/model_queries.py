@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import map_rows
 from tablewright.operators import evaluation, training
 from tablewright.sources.ledger import new_ledger
-from tablewright.sources.shared import written
+from tablewright.sources.shared import delete, written
 from tablewright.streaming import feeds, reports
 
 FEATURES = ["n_chars", "n_words", "n_symbols", "n_capitals", "mean_length"]
@@ -78,7 +78,7 @@ def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def letter_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of documents of nearly the same letters."""
-    return training.dense_clusters(_letters(spark, sf_dir), "doc_id", 0.05).select("doc_id", "cluster")
+    return training.dense_clusters(written(_letters(spark, sf_dir)), "doc_id", 0.05).select("doc_id", "cluster")
 
 
 def _quality(df: DataFrame) -> DataFrame:
@@ -87,7 +87,10 @@ def _quality(df: DataFrame) -> DataFrame:
 
 def letter_cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silhouette and coverage of the clusters that were found."""
-    return _quality(training.dense_clusters(_letters(spark, sf_dir), "doc_id", 0.05))
+    letters = written(_letters(spark, sf_dir))
+    out = _quality(training.dense_clusters(letters, "doc_id", 0.05))
+    delete(letters)
+    return out
 
 
 def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
